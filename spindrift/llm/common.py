@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.session import ship
@@ -43,6 +43,13 @@ def save(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) for a condition on costly computed columns. A plain filter is pushed below
+    the projection, with the expressions of all columns it names written out again and again."""
+    d = df.withColumn("_guard", F.monotonically_increasing_id())
+    return d.where(condition & (F.col("_guard") >= 0)).drop("_guard")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now, not when the driver next
     happens to collect its garbage: on large inputs they are most of the disk in use."""

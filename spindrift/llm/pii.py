@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import cut
+from spindrift.llm.common import cut, where_computed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns: runs that cannot match are not tried again from every
@@ -78,7 +78,7 @@ def find_base(docs: DataFrame) -> DataFrame:
 def disclosing_terms(found: DataFrame) -> DataFrame:
     """(term, share, bits): terms that give an entity away, the share of their places near it, and the
     information in bits that the term carries about the entity. found: from find_base()."""
-    e = found.where("size(base) > 0").select("t", F.explode("base").alias("s"))
+    e = where_computed(found, F.size("base") > 0).select("t", F.explode("base").alias("s"))
     near = F.concat(
         F.expr(f"substr(t, greatest(1, s.start - {REACH - 1}), least({REACH}, s.start))"), F.lit(" | "), F.expr(f"substr(t, s.end + 1, {REACH})")
     )

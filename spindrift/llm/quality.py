@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import where_computed
+
 SPACE = "[ \\t\\n\\u000B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -119,7 +121,7 @@ def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     for rule, condition in RULES:
         if rule in POLICIES[version].rules:
             bits = bits | F.expr(_prefixed(condition))
-    return m.where(~bits).select(*names).toDF(*docs.columns)
+    return where_computed(m, ~bits).select(*names).toDF(*docs.columns)
 
 
 def _prefixed(condition: str) -> str:
