@@ -2,10 +2,320 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spindrift.functions import chunking, html
+from spindrift.functions import text as tx
+from spindrift.functions import vector as vec
+from spindrift.operators import bm25, hybrid, store, summary, topk
+from spindrift.session import ship
+from spindrift.sources import ignore, web
+from spindrift.streaming import memory
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+BM25_QUERY = "the thing of the order is that and heat"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vector(spark, sf_dir, vec_id):
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding]
+
+
+_E = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+
+@query(f"""WITH q AS (SELECT {_E} AS qe FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity({_E}, qe), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity({_E}, qe) DESC, vec_id LIMIT 5""")
+def vector_topk(spark, sf_dir):
+    rows = topk.scored(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0))
+    return topk.top_k(rows, 5, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(i.v, q.v) AS s
+FROM e q, e i WHERE q.vec_id % 20 = 0)
+SELECT query_id, item_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk_batch(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    got = topk.knn_join(e.select(F.col("vec_id").alias("item_id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return got.select("query_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT vec_id, round(sqrt(list_dot_product({_E}, {_E})), 6) AS norm, round(list_sum(list_transform({_E}, lambda x: x / sqrt(list_dot_product({_E}, {_E})))), 5) AS total FROM embeddings")
+def vector_norms(spark, sf_dir):
+    v = vec.as_double(F.col("embedding"))
+    total = F.aggregate(vec.normalize(v), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vec.norm(v), 6).alias("norm"), F.round(total, 5).alias("total"))
+
+
+def _mmr_sql(k: int, lam: float) -> str:
+    steps = [f"""c AS (SELECT vec_id, v, s FROM (SELECT e.vec_id, {_E} AS v, list_cosine_similarity({_E}, q.qe) AS s FROM embeddings e, (SELECT {_E} AS qe FROM embeddings WHERE vec_id = 0) q)
+ORDER BY s DESC, vec_id LIMIT {4 * k})""", "p0 AS (SELECT -1 AS vec_id, NULL::DOUBLE[] AS v, NULL::DOUBLE AS s, 0 AS rank WHERE false)"]
+    for i in range(1, k + 1):
+        steps.append(f"""p{i} AS (SELECT * FROM p{i - 1} UNION ALL (SELECT c.vec_id, c.v, c.s, {i} AS rank FROM c WHERE c.vec_id NOT IN (SELECT vec_id FROM p{i - 1})
+ORDER BY round({lam} * c.s + {1 - lam} * (1 - greatest(0.0, coalesce((SELECT max(list_cosine_similarity(c.v, p.v)) FROM p{i - 1} p), 0.0))), 12) DESC, c.s DESC, c.vec_id LIMIT 1))""")
+    return f"WITH {', '.join(steps)} SELECT rank, vec_id, round(s, 6) AS score FROM p{k}"
+
+
+@query(_mmr_sql(12, 0.85))
+def mmr_embeddings(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vec.as_double(F.col("embedding")).alias("embedding"))
+    got = topk.search(e, _vector(spark, sf_dir, 0), 12, True, ("vec_id",))
+    rows = [(i, r.vec_id, round(r.score, 6)) for i, r in enumerate(got.collect(), 1)]  # 12 rows, in the order of picks
+    return spark.createDataFrame(rows, "rank int, vec_id long, score double")
+
+
+_TOK = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS t FROM documents)")
+def tokenize(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokenize(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH t AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
+SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, n""")
+def bm25_idf(spark, sf_dir):
+    return bm25.idf(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+_BM25 = f"""d AS (SELECT doc_id, text, {_TOK} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(string_split('{BM25_QUERY}', ' ')) AS term) GROUP BY term),
+tf AS (SELECT doc_id, len(t) AS l, term, qtf, len(list_filter(t, lambda x: x = term)) AS f FROM d, q),
+df AS (SELECT term, count(*) FILTER (f > 0) AS df FROM tf GROUP BY term),
+s AS (SELECT doc_id, sum(CASE WHEN df > 0 THEN qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / a)) ELSE 0 END) AS score FROM tf JOIN df USING (term), st GROUP BY doc_id)"""
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM s")
+def bm25_scores(spark, sf_dir):
+    return bm25.bm25_scores(table(spark, sf_dir, "documents"), BM25_QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_NORM = "z AS (SELECT doc_id, CASE WHEN mx > mn THEN (score - mn) / (mx - mn) ELSE score END AS score FROM s, (SELECT min(score) AS mn, max(score) AS mx FROM s))"
+
+
+@query(f"WITH {_BM25}, {_NORM} SELECT doc_id, round(score, 6) AS score FROM z ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
+def bm25_normalized_topk(spark, sf_dir):
+    s = bm25.min_max(bm25.bm25_scores(table(spark, sf_dir, "documents"), BM25_QUERY)).withColumn("score", F.round("score", 9))
+    return topk.top_k(s, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def mmr_bm25_overlap(spark, sf_dir):
+    return bm25.select_top(table(spark, sf_dir, "documents"), BM25_QUERY, 5).select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+_HEX = "lower(hex(encode(text)))"
+_CHUNK = f"""WITH d0 AS (SELECT doc_id, {_HEX} AS h, strlen(text) AS n FROM documents),
+d AS (SELECT *, list_filter(range(1, n + 1), lambda i: substr(h, 2 * i - 1, 2) = '0a') AS nl FROM d0),
+c AS (SELECT doc_id, h, n, nl, unnest(range(0, n // 400 + CASE WHEN n - 400 * (n // 400) >= 50 THEN 1 ELSE 0 END)) AS j FROM d),
+k AS (SELECT *, CASE WHEN j > 0 AND 400 * j < n AND substr(h, 800 * j - 1, 2) = '0a' THEN 400 * j - 1 ELSE 400 * j END AS a,
+CASE WHEN 400 * (j + 1) < n AND substr(h, 800 * (j + 1) - 1, 2) = '0a' THEN 400 * (j + 1) - 1 ELSE least(n, 400 * (j + 1)) END AS z FROM c)
+"""
+_NL = "len(list_filter(nl, lambda i: i <= {0}))"
+
+
+@query(_CHUNK + f"SELECT doc_id, j::INT AS j, (1 + {_NL.format('400 * j')})::INT AS start_line, (1 + {_NL.format('least(n, 400 * (j + 1))')})::INT AS end_line, md5(substr(h, 2 * a + 1, 2 * (z - a))) AS body_md5 FROM k")
+def chunk_text(spark, sf_dir):
+    c = chunking.chunk_text(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return c.select("doc_id", "j", "start_line", "end_line", F.md5(F.lower(F.hex("body")).cast("binary")).alias("body_md5"))
+
+
+@query(_CHUNK + f"""SELECT k.doc_id, j::INT AS j, 'File: doc' || k.doc_id || chr(10) || 'Lines: ' || (1 + {_NL.format('400 * j')}) || '-' || (1 + {_NL.format('least(n, 400 * (j + 1))')}) || chr(10) || chr(10) || substr(text, a + 1, z - a) AS chunk
+FROM k JOIN documents d ON d.doc_id = k.doc_id WHERE length(text) = n""")
+def chunk_text_formatted(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text"))  # the oracle slices characters
+    c = chunking.chunk_text(d, "text", "doc_id")
+    path = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    return c.select("doc_id", "j", chunking.format_chunk(path, F.col("start_line"), F.col("end_line"), F.col("body").cast("string")).alias("chunk"))
+
+
+_ID = "\\b([a-zA-Z]+[A-Z][a-zA-Z0-9]*|[a-z][a-z0-9]*_[a-z][a-z0-9_]*)\\b"
+
+
+@query(f"SELECT doc_id, len(i) AS n, array_to_string(i, ' ') AS found FROM (SELECT doc_id, regexp_extract_all(text, '{_ID}') AS i FROM documents)")
+def identifiers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.identifiers(F.col("text")).alias("i"))
+    return d.select("doc_id", F.size("i").cast("long").alias("n"), F.array_join("i", " ").alias("found"))
+
+
+@query(f"""WITH i AS (SELECT doc_id, regexp_extract_all(text, '{_ID}') AS i FROM documents)
+SELECT doc_id, array_to_string(list_filter(i, lambda x, k: list_position(i, x) = k), chr(10)) AS signals FROM i""")
+def text_signals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.text_signals(F.col("text")).alias("signals"))
+
+
+_WORDS = " OR ".join(f"contains(lower(q), '{w}')" for w in tx.CODE_WORDS)
+_SEARCHABLE = f"""trim(q) <> '' AND (regexp_matches(q, '{_ID}') OR regexp_matches(q, '\\b[\\w\\-]+\\.(go|ts|js|py|rs|java|cpp|c|rb|cs|json|yaml|yml|toml|md)\\b')
+OR regexp_matches(q, '[\\w\\-]+/[\\w\\-]+(/[\\w\\-]+)*') OR regexp_matches(q, '{tx.ERRORS}') OR {_WORDS})"""
+
+
+@query(f"SELECT doc_id, {_SEARCHABLE} AS searchable FROM (SELECT doc_id, text AS q FROM documents)")
+def searchable(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.is_searchable(F.col("text")).alias("searchable"))
+
+
+_SYMBOLS = f"""items AS (SELECT 'doc' || doc_id AS file_path, doc_id, regexp_extract(text, '{_ID}') AS symbol, len(string_split(text, chr(10))) AS end_line FROM documents)"""
+
+
+def _symbol_items(spark, sf_dir):
+    """A stand-in for a code index: a document's first identifier is its symbol."""
+    ids = tx.identifiers(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), "doc_id", F.coalesce(F.get(ids, F.lit(0)), F.lit("")).alias("symbol"),
+        F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"),
+    )
+
+
+@query(f"""WITH {_SYMBOLS}, asked AS (SELECT DISTINCT symbol FROM items WHERE symbol <> '' ORDER BY symbol LIMIT 10), f AS (SELECT i.*, row_number() OVER (PARTITION BY symbol ORDER BY file_path) AS n FROM items i JOIN asked USING (symbol))
+SELECT doc_id, symbol, round(1.0 - 0.001 * (end_line - 1), 6)::DOUBLE AS score FROM f WHERE n <= 3""")
+def symbol_lookup(spark, sf_dir):
+    items = _symbol_items(spark, sf_dir)
+    asked = [r.symbol for r in items.where("symbol <> ''").select("symbol").distinct().orderBy("symbol").limit(10).collect()]
+    return hybrid.find_by_symbols(items, asked, 3).select("doc_id", "symbol", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query(f"""WITH {_SYMBOLS}, one AS (SELECT min(symbol) AS symbol FROM items WHERE symbol <> ''),
+a AS (SELECT doc_id, (2.0 - 0.001 * (end_line - 1))::DOUBLE AS score FROM items JOIN one USING (symbol) ORDER BY file_path LIMIT 8),
+b AS (SELECT vec_id AS doc_id, list_cosine_similarity({_E}, (SELECT {_E} FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT (8 - (SELECT count(*) FROM a)))
+SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY score DESC, doc_id LIMIT 8""")
+def hybrid_search(spark, sf_dir):
+    items = _symbol_items(spark, sf_dir)
+    one = items.where("symbol <> ''").agg(F.min("symbol")).first()[0]
+    found = hybrid.find_by_symbols(items, [one], 8).select("doc_id", F.col("score").cast("double").alias("score"))
+    near = topk.scored(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3))
+    rest = topk.top_k(near, 8 - found.count(), "vec_id").select(F.col("vec_id").alias("doc_id"), "score")
+    return topk.top_k(found.unionByName(rest), 8, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, max(list_cosine_similarity(q.v, i.v)) AS best FROM e q JOIN e i ON q.vec_id <> i.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1)
+SELECT query_id, round(best, 6) AS best, best < 0.5 AS retry FROM s""")
+def weak_result_retry(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    got = topk.knn_join(e.select(F.col("vec_id").alias("item_id"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 2)
+    best = got.where("query_id <> item_id").groupBy("query_id").agg(F.max("score").alias("best"))
+    return best.select("query_id", F.round("best", 6).alias("best"), (F.col("best") < hybrid.WEAK).alias("retry"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", html.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def web_chunks(spark, sf_dir):
+    return web.page_chunks(table(spark, sf_dir, "pages"))
+
+
+@query()
+def web_select_top(spark, sf_dir):
+    return web.answer_context(table(spark, sf_dir, "pages"), BM25_QUERY, 5).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+IGNORE_RULES = ["*.html", "es/", "!100.html", "de/1*", "fr/10"]
+_P = "regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_P} AS path FROM pages), b AS (SELECT *, regexp_extract(path, '([^/]*)/*$', 1) AS base, string_split(path, '/') AS seg FROM p)
+SELECT page_id, path, CASE WHEN regexp_matches(path, '^fr/10$') THEN true WHEN regexp_matches(path, '^de/1[^/]*$') OR regexp_matches(base, '^de/1[^/]*$') THEN true
+WHEN list_contains(seg, '100.html') THEN CASE WHEN base = '100.html' AND false THEN true ELSE false END
+WHEN list_contains(seg, 'es') AND NOT base = 'es' THEN true WHEN len(list_filter(seg, lambda s: regexp_matches(s, '^[^/]*[.]html$'))) > 0 THEN true ELSE false END AS ignored FROM b""")
+def ignore_filter(spark, sf_dir):
+    rules = ignore.parse(IGNORE_RULES)
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1).alias("path"))
+    return p.withColumn("ignored", ignore.ignored(F.col("path"), F.lit(False), rules))
+
+
+@query("SELECT path FROM (SELECT 'doc' || doc_id AS path FROM documents) ORDER BY path LIMIT 20")
+def summary_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"))
+    return summary.first_files(d)
+
+
+@query(f"SELECT DISTINCT symbol FROM (SELECT unnest(regexp_extract_all(text, '{_ID}')) AS symbol FROM documents) ORDER BY symbol LIMIT 20")
+def summary_symbols(spark, sf_dir):
+    return summary.distinct_symbols(text_signals(spark, sf_dir))
+
+
+def _extractions(spark, sf_dir):
+    """A stand-in for model replies: the first words of each turn are its topics, user turns update the summary."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).otherwise(" ").alias("summary_update"), F.slice(F.split("text", " ", -1), 1, 5).alias("topics_add"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, role, text, unnest(list_slice(string_split(text, ' '), 1, 5)) AS w, unnest(range(0, least(5, len(string_split(text, ' '))))) AS p FROM conversations),
+f AS (SELECT conv_id, lower(trim(w)) AS t, min(turn * 1000 + p) AS pos FROM x WHERE trim(w) <> '' GROUP BY ALL),
+r AS (SELECT conv_id, array_to_string(list_slice(list(t ORDER BY pos), 1, 20), '|') AS topics FROM f GROUP BY conv_id),
+s AS (SELECT conv_id, regexp_replace(arg_max(text, turn) FILTER (role = 'user' AND trim(text) <> ''), '^\\s+|\\s+$', '', 'g') AS project_summary FROM conversations GROUP BY conv_id)
+SELECT s.conv_id, coalesce(project_summary, '') AS project_summary, coalesce(topics, '') AS topics FROM s LEFT JOIN r ON s.conv_id = r.conv_id""")
+def memory_fold(spark, sf_dir):
+    out = memory.fold_frames(_extractions(spark, sf_dir), "conv_id", order="turn")
+    return out.select("conv_id", "project_summary", F.array_join("topics", "|").alias("topics"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations c WHERE NOT (role = 'assistant' AND turn % 4 = 1)")
+def queue_pending(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    left = store.delete_in(c, c.where("role = 'assistant' and turn % 4 = 1"))
+    return left.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("place"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def meta_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return store.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", order="event_id")
+
+
+@query("""SELECT conv_id, turn, coalesce(len(h), 0) AS n_before, md5(coalesce(array_to_string(h, '|'), '')) AS history FROM (SELECT conv_id, turn,
+list(role || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM conversations)""")
+def chat_history(spark, sf_dir):
+    h = memory.chat_history(table(spark, sf_dir, "conversations"))
+    joined = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|")
+    return h.select("conv_id", "turn", F.size("history").cast("long").alias("n_before"), F.md5(joined.cast("binary")).alias("history"))
+
+
+@query(f"""WITH s AS (SELECT vec_id, list_cosine_similarity({_E}, (SELECT {_E} FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 5),
+r AS (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS n FROM s)
+SELECT string_agg(chr(10) || '[' || n || '] (score: ' || printf('%.3f', s) || ')' || chr(10) || 'vec' || vec_id || chr(10) || chr(10) || '---' || chr(10), '' ORDER BY n) AS output FROM r""")
+def joined_output(spark, sf_dir):
+    top = topk.top_k(topk.scored(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0)), 5, "vec_id")
+    return topk.join_chunks(top.withColumn("text", F.concat(F.lit("vec"), F.col("vec_id").cast("string"))), "text", "vec_id")
+
+
+_FENCED = "'Reply:' || chr(10) || '```go' || chr(10) || text || chr(10) || '```' || chr(10) || 'done'"
+
+
+@query("""SELECT item_id, trim(text, ' ' || chr(10)) AS content, CASE WHEN item_id % 3 = 0 THEN 'go' ELSE '' END AS "language", CASE WHEN item_id % 3 = 1 THEN 'unterminated code block' END AS error
+FROM benchmark WHERE item_id % 3 <> 1 UNION ALL SELECT item_id, '', '', 'unterminated code block' FROM benchmark WHERE item_id % 3 = 1""")
+def code_block(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "^[ \n]+|[ \n]+$", ""))
+    closed = F.concat(F.lit("Reply:\n```go\n"), F.col("text"), F.lit("\n```\ndone"))
+    raw = F.when(F.col("item_id") % 3 == 0, closed).when(F.col("item_id") % 3 == 1, F.concat(F.lit("```go\n"), F.col("text"))).otherwise(F.col("text"))
+    return b.withColumn("b", tx.code_block(raw)).select("item_id", "b.content", "b.language", "b.error")
