@@ -23,7 +23,7 @@ from spindrift.llm.common import map_rows
 MAX_LABELLED = 4000
 #: A feature is used if so many of the toxic labelled texts hold it, and if the likelihood ratio
 #: statistic of label against feature is at least this.
-MIN_DOCS, MIN_G2 = 4, 24.0
+MIN_DOCS, MIN_G2 = 4, 16.0
 THRESHOLD = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = ".,;:!?\"'()[]{}<>%#*&$|_-"
@@ -94,7 +94,7 @@ def select(bags: list[list[set]], y: list[int]) -> dict[str, int]:
     return {f: i for i, f in enumerate(sorted(out))}
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.1, l2: float = 0.02) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.1, l2: float = 0.005) -> Model:
     """Full-batch Adam on the log loss of the noisy-or; deterministic. Equal texts count once, as
     toxic if any of them is. Without texts of both labels there is nothing to learn: every
     score is then close to 0."""
