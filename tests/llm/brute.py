@@ -146,3 +146,31 @@ def op10(docs):
 
 def crc3(d):
     return zlib.crc32(str(d).encode()) % 3
+
+
+def line_removals(docs):
+    """Places (doc_id, idx) of the lines that line dedup takes out, from all pairs of distinct lines."""
+    at = {}
+    for doc_id, text in docs:
+        for i, line in enumerate((text or "").split("\n")):
+            if re.search(r"\S", line):
+                at.setdefault(line, []).append((doc_id, i))
+    sets = sorted(((x, {x[i : i + 5] for i in range(len(x) - 4)} or {x}) for x in at), key=lambda p: len(p[1]))
+    root = {x: x for x in at}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (x, a) in enumerate(sets):
+        for y, b in sets[i + 1 :]:
+            if len(a) < 0.8 * len(b):
+                break
+            common = len(a & b)
+            if common / (len(a) + len(b) - common) >= 0.8:
+                root[find(x)] = find(y)
+    groups = {}
+    for x, places in at.items():
+        groups.setdefault(find(x), []).extend(places)
+    return {p for places in groups.values() for p in places if p != min(places)}
