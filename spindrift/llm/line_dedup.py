@@ -2,11 +2,13 @@
 
 Equal lines are one by their digest. Signatures are minima of multiplicatively permuted
 hashes of all SHINGLE-character shingles, BANDS bands of ROWS minima each. A band's lines
-are linked where they lie, in Arrow batches: each line is compared to the first of its batch and
+are first linked where they lie, in Arrow batches: each line is compared to the first of its batch and
 to the one before it. Only the firsts of the batches are shuffled by band, and compared likewise
 among themselves, so that no band is one task's work. What is compared is the exact Jaccard similarity of all SHINGLE-character
-shingles (as sets of 64-bit hashes). Links then go through distributed union-find, and of every component the
-first line (by doc_id and place) stays.
+shingles (as sets of 64-bit hashes). Links then go through distributed union-find. Bands whose lines are
+not one component by then are compared in full, in cells of two blocks of lines, but for pairs that are
+one component already: so any two lines that share a band and are near are linked in the end. Of every
+component the first line (by doc_id and place) stays.
 
 Signatures and verification are Arrow batches with numpy and Python sets: the form of
 DataFrame functions alone cost several times the CPU that is allowed (see README). Banding,
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 4
 #: Characters hashed at a time; longer lines are cut into overlapping pieces.
 BLOCK = 1 << 16
+#: Lines in a block of a band that is compared in full; a line counts once more for every WEIGHT characters.
+CELL, WEIGHT = 1024, 4096
+#: Bits of a line's sketch.
+SKETCH = 512
 _TEXT = re.compile(r"\S", re.ASCII)
 
 
@@ -212,8 +219,8 @@ def _near(rows) -> Iterator[tuple]:
             yield a, b
 
 
-def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with a Jaccard similarity of SIMILARITY or more."""
+def wanted_lines(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, line) of all lines in pairs."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     places = signed.select(F.xxhash64("key").alias("id"), "first").join(ids, "id").select("first.doc_id", "first.idx")
     by_doc = places.groupBy("doc_id").agg(F.collect_set("idx").alias("wanted"))
@@ -221,13 +228,78 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     # the text is split once: a column of its lines, used inside a lambda, would be split again for every line
     wanted = F.filter(F.split("text", "\n", -1), lambda x, i: F.array_contains("wanted", i))
     lines = text.join(by_doc.hint("shuffle_hash"), "doc_id").select(F.explode(wanted).alias("line"))
-    lines = save(lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), "line").dropDuplicates(["key"]))
+    return save(lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), "line").dropDuplicates(["key"]))
+
+
+def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with a Jaccard similarity of SIMILARITY or more, as keys."""
     # lines that share a 64-bit hash, if any do, all take part
     of = lambda x: lines.select(F.xxhash64("key").alias(x), F.col("key").alias(f"key_{x}"), F.col("line").alias(f"line_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     return map_rows(both.select("key_a", "key_b", "line_a", "line_b"), "a binary, b binary", _near)
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of SKETCH bits, whether the number of shingles that fall on it is odd. Two sets differ
+    in at least as many shingles as their sketches do in bits."""
+    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.uint64)
+
+
+def _compare(rows: list[tuple], across: bool) -> Iterator[tuple]:
+    """Links between the roots of (root, line, side) rows: of every near pair, also by way of others. across: only
+    pairs of different sides. With d shingles in one set alone and s in both together, the similarity is (s - d) / (s + d)."""
+    names = sorted({r[0] for r in rows})
+    number = {x: i for i, x in enumerate(names)}
+    root = np.array([number[r[0]] for r in rows])
+    sets = [_shingles(r[1]) for r in rows]
+    n = np.array([len(x) for x in sets])
+    bits = np.stack([_sketch(x) for x in sets])
+    if across:
+        cut = sum(1 for r in rows if r[2] == rows[0][2])
+    for i in range(cut if across else len(rows) - 1):
+        at = cut if across else i + 1
+        open_ = (root[at:] != root[i]) & (np.minimum(n[at:], n[i]) >= SIMILARITY * np.maximum(n[at:], n[i]))
+        found = at + np.flatnonzero(open_)
+        if not len(found):
+            continue
+        apart = np.bitwise_count(bits[found] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for j in found[apart * (1 + SIMILARITY) <= (n[found] + n[i]) * (1 - SIMILARITY) + 1e-6]:
+            if root[j] == root[i]:
+                continue
+            both = np.sort(np.concatenate((sets[i], sets[j])))
+            common = np.count_nonzero(both[1:] == both[:-1])
+            if common / (len(both) - common) >= SIMILARITY:
+                yield names[root[i]], names[root[j]]
+                root[root == root[j]] = root[i]
+
+
+def _cells(rows) -> Iterator[tuple]:
+    """_compare for every cell of (band, low, high, block, root, line), sorted by the first four."""
+    for (_, low, high), cell in groupby(rows, lambda r: r[:3]):
+        yield from _compare([(r[4], r[5], r[3]) for r in cell], low != high)
+
+
+def rest(known: DataFrame) -> DataFrame:
+    """Links (a, b) between roots, from (key, root, bands, line): those of all near lines that share a band and have not
+    the same root. A band of two lines has been compared by candidate_pairs already. The lines of a band's largest component make blocks of their
+    own, since they needn't meet each other; a band of m lines with u outside that component makes some m * u / CELL rows."""
+    at = known.select("key", "root", F.explode("bands").alias("band"), (1 + F.length("line") / WEIGHT).alias("w"))
+    by_root = at.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    bands = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots"), F.max(F.struct("w", "root")).alias("top"))
+    bands = bands.where("n > 2 and roots > 1").select(
+        "band", F.col("top.root").alias("top"), F.ceil((F.col("w") - F.col("top.w")) / CELL).cast("int").alias("outside"), F.ceil(F.col("top.w") / CELL).cast("int").alias("inside")
+    )
+    at = at.drop("w").join(bands, "band")
+    some = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    block = F.when(F.col("root") == F.col("top"), F.col("outside") + some("inside")).otherwise(some("outside"))
+    at = save(at.withColumn("block", block).select("key", "band", "block", "outside", "inside"))
+    other = F.when(F.col("block") < F.col("outside"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
+    d = known.select("key", "root", "line").join(at, "key").withColumn("other", F.explode(other))
+    d = d.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "line")
+    d = d.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block")
+    return map_rows(d, "a binary, b binary", _cells)
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, gone array<int>): places of the lines that go, for every document that has any."""
     spark = docs.sparkSession
@@ -235,9 +307,15 @@ def removals(docs: DataFrame) -> DataFrame:
     release(spark)
     pairs = save(candidate_pairs(signed))
     release(spark)
-    links = save(verified(docs, signed, pairs))
+    lines = wanted_lines(docs, signed, pairs)
+    links = save(verified(lines, pairs))
     release(spark)
     roots = connected_components(links).select(F.col("node").alias("key"), "root")
+    known = signed.select("key", "bands").join(lines, "key").join(roots, "key", "left")
+    more = save(rest(save(known.select("key", F.coalesce("root", "key").alias("root"), "bands", "line"))))
+    release(spark)
+    # one edge for each line that has a root, and those between roots
+    roots = connected_components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("key"), "root")
     grouped = signed.select("key", "first", "n").join(roots, "key", "left")
     several = grouped.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))
     stays = several.groupBy("root").agg(F.min("first").alias("stay"))

@@ -177,6 +177,30 @@ def test_line_dedup_recall(spark):
     assert gone <= want and len(gone) >= 0.97 * len(want), (len(gone), len(want), len(gone - want))
 
 
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_line_dedup_templated(spark, monkeypatch, cell):
+    """Lines of one template share bands, spread over many batches, and only pairs are near: 0.98 or more of what brute
+    force removes goes, as many as share a band."""
+    monkeypatch.setattr(line_dedup, "CELL", cell)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    template, rows = word(100), []
+    for i in range(150):
+        own = word(20)
+        rows += [(2 * i, template + own), (2 * i + 1, template + own[:-10] + word(10))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, 8)
+    try:
+        gone = {(r.doc_id, i) for r in line_dedup.removals(docs).collect() for i in r.gone}
+    finally:
+        spark.conf.set(name, held)
+    want = brute.line_removals(rows)
+    assert len(want) >= 140 and gone <= want and len(gone) >= 0.98 * len(want), (len(gone), len(want), len(gone - want))
+
+
 def test_line_signatures():
     """Minima by brute force; a line longer than a block has the same bands."""
     rng = random.Random(1)
