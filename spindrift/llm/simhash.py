@@ -230,21 +230,42 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     null doc_id take part; component_id is the smallest doc_id that isn't null.
     Repeated rows each get their row. Other columns of docs aren't read.
     """
+    own, grouped = _grouped(docs)
+    least = grouped.groupBy("grp").agg(F.min("rep").alias("component_id"))
+    by_fp = grouped.join(least, "grp").select("fp", "component_id")
+    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, rep, grp) of every fingerprint: its smallest doc_id and its component."""
     spark = docs.sparkSession
     own = cut(fingerprints(docs))
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     roots = connected_components(links(classes.select("fp"), parts))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("grp")
-    )
-    least = grouped.groupBy("grp").agg(F.min("rep").alias("component_id"))
-    by_fp = grouped.join(least, "grp").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own, classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("grp"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; of rows that
-    repeat a doc_id the first text stays. Rows with a null doc_id stay."""
-    gone = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of docs: that of the smallest doc_id, then fingerprint, then text. Rows that
+    share a doc_id are judged each for itself. Rows with a null doc_id stay."""
+    own, grouped = _grouped(docs)
+    stay = grouped.where("rep is not null").groupBy("grp").agg(F.min(F.struct("rep", "fp")).alias("stay"))
+    by_fp = grouped.join(stay, "grp").select("fp", "stay")
+    stays = F.when((F.col("doc_id") == F.col("stay.rep")) & (F.col("fp") == F.col("stay.fp")), F.col("fp"))
+    by_doc = own.where("doc_id is not null").join(by_fp, "fp").groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(stays).alias("_stay"))
+    by_doc = cut(by_doc.where("n > 1 or size(_stay) = 0"))
+    once = docs.join(by_doc.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # only rows that repeat a doc_id need their fingerprints again
+    several = docs.join(by_doc.where("size(_stay) > 0").select("doc_id", "_stay"), "doc_id").select(*docs.columns, "_stay")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            fps = [fingerprint(b"" if t is None else t.encode()) for t in b.column(at).to_pylist()]
+            fps = pa.array([fp - (1 << 64) if fp >> 63 else fp for fp in fps], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, "_fp"])
+
+    several = several.mapInArrow(run, several.withColumn("_fp", F.lit(0).cast("long")).schema).where("array_contains(_stay, _fp)")
+    one = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
+    return once.unionByName(several.groupBy("doc_id", "_fp").agg(one).select("row.*"))

@@ -60,6 +60,17 @@ def test_awkward_rows(spark, awkward, name):
     assert op(awkward.limit(0)).collect() == []
 
 
+def test_keep_one_of_each(spark):
+    """Rows that repeat a doc_id: equal ones leave one, and another text of the same doc_id is judged for itself."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "kilo", "zulu"))
+    rows = [(1, a), (1, a), (1, a), (2, b), (5, b), (5, c), (6, c), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    got = simhash.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.text) for r in got.collect()) == order([(1, a), (2, b), (5, c), (None, a), (None, a)])
+
+
 def test_decontamination(spark, sf_dir, awkward):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs, bench = docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
