@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import doc_bytes, map_rows
+from spindrift.llm.common import doc_bytes, map_rows, save
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is cut into
@@ -96,26 +96,29 @@ def find_hits(words: list[bytes], prefix: dict, items: dict) -> tuple[bytearray,
     return hit, found
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, hit binary, items array<long>"
+SCHEMA = "row long, doc_id long, n_words long, n_hit long, hit binary, items array<long>"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[DataFrame]:
-    """For each part of the benchmark, a row per row of docs: doc_id, n_words, n_hit, hit (a byte
+    """For each part of the benchmark, a row per row of docs: row (its number, the same in all parts), doc_id, n_words, n_hit, hit (a byte
     for each word, 1 if hit; empty if none is or if there is but one part), items (ids with an
     occurring window)."""
     out, parts = [], list(_parts(benchmark, part_bytes))
+    rows = doc_bytes(docs).withColumn("row", F.monotonically_increasing_id())
+    if len(parts) > 1:  # written once: read again, rows could come in another order and be numbered anew
+        rows = save(rows)
     for part in parts:
         vocabulary = {w for _, text in part for w in words_of(text)}
         index = docs.sparkSession.sparkContext.broadcast(_index(part, word_counts(docs, vocabulary) if part else {}))
 
         def run(rows, index=index, several=len(parts) > 1):
             prefix, items = index.value
-            for doc_id, text in rows:
+            for row, doc_id, text in rows:
                 words = words_of(text)
                 hit, found = find_hits(words, prefix, items)
-                yield doc_id, len(words), sum(hit), bytes(hit) if found and several else b"", sorted(found)
+                yield row, doc_id, len(words), sum(hit), bytes(hit) if found and several else b"", sorted(found)
 
-        out.append(map_rows(doc_bytes(docs), SCHEMA, run))
+        out.append(map_rows(rows.select("row", "doc_id", "text"), SCHEMA, run))
     return out
 
 
@@ -123,8 +126,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, part_bytes: in
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null or empty text has no words. Benchmark rows with null text or item_id are passed
-    over, repeated ones count once. Rows that share a doc_id are judged each for itself;
-    only where the benchmark is in several parts are they one document.
+    over, repeated ones count once. Rows that share a doc_id are judged each for itself.
     """
     found = hits(docs, benchmark, part_bytes)
     flat = found[0] if len(found) == 1 else _merge(found)
@@ -136,15 +138,15 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, part_bytes: in
 
 
 def _merge(found: list[DataFrame]) -> DataFrame:
-    """Hits of several parts, word by word; only documents with hits send more than their counts."""
+    """Hits of several parts, row by row and word by word; only rows with hits send more than their counts."""
     union = found[0]
     for f in found[1:]:
         union = union.union(f)
-    counts = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    word = union.where("length(hit) > 0").select("doc_id", F.posexplode(F.split(F.decode("hit", "ISO-8859-1"), "")))
-    n_hit = word.where(F.col("col") == "\x01").distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = union.where("size(items) > 0").select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.collect_set("item").alias("items"))
-    return counts.join(n_hit, "doc_id", "left").join(items, "doc_id", "left").select(
+    counts = union.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+    word = union.where("length(hit) > 0").select("row", F.posexplode(F.split(F.decode("hit", "ISO-8859-1"), "")))
+    n_hit = word.where(F.col("col") == "\x01").distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    items = union.where("size(items) > 0").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.collect_set("item").alias("items"))
+    return counts.join(n_hit, "row", "left").join(items, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
     )
 

@@ -60,6 +60,13 @@ def test_awkward_rows(spark, awkward, name):
     assert op(awkward.limit(0)).collect() == []
 
 
+def test_decontamination_parts(spark, awkward):
+    """With a benchmark in several parts, rows that repeat a doc_id and rows without one are judged each for itself too."""
+    odd = [(1, P), (2, "the"), (10, P[10:90])]
+    got = decontam.decontamination_report(awkward, spark.createDataFrame(odd, "item_id long, text string"), part_bytes=1)
+    same(got, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], brute.op3(AWKWARD, odd))
+
+
 def test_keep_one_of_each(spark):
     """Rows that repeat a doc_id: equal ones leave one, and another text of the same doc_id is judged for itself."""
     a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "kilo", "zulu"))
