@@ -50,21 +50,26 @@ class Model:
     starts: set = field(init=False)
 
     def __post_init__(self):
-        self.starts = {w[:4].rstrip("*") for w in self.weights}
+        self.starts = {w[:4] for w in self.weights}
 
     def sentence_scores(self, text: str) -> list[float]:
+        return [p for _, _, p in self.scored_sentences(text)]
+
+    def scored_sentences(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, score) of every sentence with more than commas."""
         get, starts, out = self.weights.get, self.starts, []
         plain = 1 / (1 + math.exp(-self.bias))
-        for s in text.lower().replace("!", ".").replace("?", ".").replace("\n", ".").replace(",", " ").split("."):
-            w = s.split()
+        for a, z in sentences(text):
+            w = text[a:z].lower().replace(",", " ").split()
             if w:
-                odd = [x for x in w if x[:4] in starts or x[0] in _EDGES]
+                odd = [x for y in w if (x := y.strip(_EDGES))[:4] in starts]
                 if odd:
-                    found = {f for x in odd for f in features(x.strip(_EDGES))}
-                    z = self.bias + sum(get(f, 0.0) for f in found)
-                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                    found = {f for x in odd for f in features(x)}
+                    total = self.bias + sum(get(f, 0.0) for f in found)
+                    p = 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
                 else:
-                    out.append(plain)
+                    p = plain
+                out.append((a, z, p))
         return out
 
     def score(self, text: str) -> float:
@@ -156,12 +161,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(rows):
         m = shared.value
         for doc_id, out, text in rows:
-            p = m.sentence_scores(text)
+            scored = m.scored_sentences(text)
+            p = [x for _, _, x in scored]
             score, worst = noisy_or(p), (None, None)
             if score >= THRESHOLD:
-                spans = sentences(text)
-                if len(spans) == len(p):
-                    worst = spans[int(np.argmax(p))]
+                worst = scored[int(np.argmax(p))][:2]
             yield doc_id, out, score, int(score >= THRESHOLD), *worst
 
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))

@@ -278,6 +278,16 @@ def test_toxicity(spark):
     assert len({r.doc_id for r in spots.collect()}) >= 15
 
 
+def test_toxicity_edges(spark):
+    """Short words before a mark count, and a sentence of commas doesn't hide which one offends."""
+    model = toxicity.Model(-6.0, {"abc": 9.0, "ab*cd": 9.0})
+    for text in ("abc", "abc:", "abc;", "abc)", '"abc"', "ab*cd"):
+        assert model.score(text) > 0.9, text
+    text = "All is well. ,,, . Then abc: came. The end"
+    row = toxicity.score_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert row.predicted == 1 and text[row.worst_start : row.worst_end].strip() == "Then abc: came"
+
+
 def test_toxicity_awkward(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9, 0)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
