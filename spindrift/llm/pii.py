@@ -103,19 +103,24 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     return cut(told.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
 
 
-def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """found with spans: base and the places of disclosing terms outside base, by start, then kind."""
+def _with_held(found: DataFrame, terms: DataFrame, name: str) -> DataFrame:
+    """found with the terms that a row's text holds, as an array; by a join where they are more than MAX_LITERAL_TERMS."""
     known = terms.limit(MAX_LITERAL_TERMS + 1).collect()
     words = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0)), lambda w: F.lower(w)))
     if not known:
-        return found.withColumn("spans", F.col("base"))
+        return found.withColumn(name, F.array().cast("array<string>"))
     if len(known) <= MAX_LITERAL_TERMS:
-        hit = F.array_intersect(words, F.array(*(F.lit(r.term) for r in known)))
-        d = found.withColumn("_hit", hit)
-    else:
-        own = found.withColumn("_row", F.xxhash64("doc_id", "t"))
-        hits = own.select("_row", F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("_row").agg(F.collect_set("term").alias("_hit"))
-        d = own.join(hits, "_row", "left").withColumn("_hit", F.coalesce("_hit", F.array().cast("array<string>")))
+        return found.withColumn(name, F.array_intersect(words, F.array(*(F.lit(r.term) for r in known))))
+    own = found.withColumn("_row", F.xxhash64("doc_id", "t"))
+    hits = own.select("_row", F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("_row").agg(F.collect_set("term").alias(name))
+    return own.join(hits, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("_row")
+
+
+def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """found with spans: base and the places of disclosing terms outside base, by start, then kind."""
+    if terms.isEmpty():
+        return found.withColumn("spans", F.col("base"))
+    d = _with_held(found, terms, "_hit")
     pattern = F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.array_join("_hit", "|"), F.lit(")(?!\\p{L})"))
     d = d.withColumn("pattern", pattern)
     d = d.withColumn("_terms", F.when(F.size("_hit") > 0, _spans("term", F.col("pattern"))).otherwise(F.expr(_NONE)))
@@ -148,9 +153,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     whose share is at least REMOVE left out."""
     found = find_base(docs)
     terms = disclosing_terms(found)
-    removed = [r.term for r in terms.where(F.col("share") >= REMOVE).limit(MAX_LITERAL_TERMS).collect()]
-    gone = F.array(*(F.lit(t) for t in removed)).cast("array<string>")
-    d = with_terms(found, terms).withColumn("_gone", gone)
+    d = _with_held(with_terms(found, terms), terms.where(F.col("share") >= REMOVE), "_gone")
     names = "array('email', 'ip', 'card', 'phone', 'term')"
     put = f"if(s.kind = {len(KINDS)} and array_contains(_gone, lower(s.value)), '', concat('[', {names}[s.kind], ']'))"
     text = (

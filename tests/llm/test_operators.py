@@ -347,5 +347,17 @@ def test_pii_terms(spark):
     assert text[200] in ("again , alone", "again [term], alone") and "[email]" in text[0] and "zorblax" not in text[0]
 
 
+def test_pii_many_terms(spark, monkeypatch):
+    """With more terms to remove than are listed as literals, all of them are still removed, in every row."""
+    monkeypatch.setattr(pii, "MAX_LITERAL_TERMS", 1)
+    names = ["zorblax", "quimby", "vandor"]
+    rows = [(10 * k + i, f"note{chr(97 + i)} kilo{chr(98 + i)} {n} me{k}@site.org lima{chr(99 + i)} papa{chr(100 + i)}") for k, n in enumerate(names) for i in range(8)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (5, rows[5][1])], "doc_id long, text string")
+    terms = pii.disclosing_terms(pii.find_base(docs)).where(f"share >= {pii.REMOVE}")
+    assert terms.count() >= 3
+    got = [r.text for r in pii.sanitise(docs).collect()]
+    assert len(got) == 26 and not any("[term]" in t or n in t for t in got for n in names)
+
+
 def test_registered():
     assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 11)]
