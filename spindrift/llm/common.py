@@ -40,7 +40,17 @@ def save(df: DataFrame) -> DataFrame:
     """Like cut(), as a compressed columnar table: for what is large or read in part."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/spindrift-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of save() that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
