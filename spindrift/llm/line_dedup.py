@@ -45,8 +45,6 @@ BLOCK_LINES, BUCKET_BYTES = 1 << 17, 16 << 20
 SMALL, LEADERS = 32, 8
 #: Lines in a block of a band that is compared in full; a line counts once more for every WEIGHT characters.
 CELL, WEIGHT = 1024, 4096
-#: Bits of a line's sketch.
-SKETCH = 512
 _TEXT = re.compile(r"\S", re.ASCII)
 
 
@@ -371,34 +369,31 @@ def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_rows(both.select("key_a", "key_b", "line_a", "line_b"), "a binary, b binary", _near)
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each of SKETCH bits, whether the number of shingles that fall on it is odd. Two sets differ
-    in at least as many shingles as their sketches do in bits."""
-    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.uint64)
-
-
 def _compare(rows: list[tuple], across: bool) -> Iterator[tuple]:
-    """Links between the roots of (root, line, side) rows: of every near pair, also by way of others. across: only
-    pairs of different sides. With d shingles in one set alone and s in both together, the similarity is (s - d) / (s + d)."""
+    """Links between the roots of (root, line, bits, side) rows: of every near pair that is alike, also by way of others. across:
+    only pairs of different sides."""
     names = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(names)}
     root = np.array([number[r[0]] for r in rows])
-    sets = [_shingles(r[1]) for r in rows]
-    n = np.array([len(x) for x in sets])
-    bits = np.stack([_sketch(x) for x in sets])
+    bits = np.array([r[2] for r in rows], np.int64).view(np.uint64)
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = _shingles(rows[i][1])
+        return sets[i]
+
     if across:
-        cut = sum(1 for r in rows if r[2] == rows[0][2])
+        cut = sum(1 for r in rows if r[3] == rows[0][3])
     for i in range(cut if across else len(rows) - 1):
         at = cut if across else i + 1
-        open_ = (root[at:] != root[i]) & (np.minimum(n[at:], n[i]) >= SIMILARITY * np.maximum(n[at:], n[i]))
-        found = at + np.flatnonzero(open_)
-        if not len(found):
-            continue
-        apart = np.bitwise_count(bits[found] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        for j in found[apart * (1 + SIMILARITY) <= (n[found] + n[i]) * (1 - SIMILARITY) + 1e-6]:
+        for j in at + np.flatnonzero((root[at:] != root[i]) & _alike(bits[at:], bits[i])):
             if root[j] == root[i]:
                 continue
-            both = np.sort(np.concatenate((sets[i], sets[j])))
+            a, b = shingles(i), shingles(j)
+            if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+                continue
+            both = np.sort(np.concatenate((a, b)))
             common = np.count_nonzero(both[1:] == both[:-1])
             if common / (len(both) - common) >= SIMILARITY:
                 yield names[root[i]], names[root[j]]
@@ -406,9 +401,9 @@ def _compare(rows: list[tuple], across: bool) -> Iterator[tuple]:
 
 
 def _cells(rows) -> Iterator[tuple]:
-    """_compare for every cell of (band, low, high, block, root, line), sorted by the first four."""
+    """_compare for every cell of (band, low, high, block, root, line, bits), sorted by the first four."""
     for (_, low, high), cell in groupby(rows, lambda r: r[:3]):
-        yield from _compare([(r[4], r[5], r[3]) for r in cell], low != high)
+        yield from _compare([(r[4], r[5], r[6], r[3]) for r in cell], low != high)
 
 
 def rest(open_: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
@@ -416,7 +411,7 @@ def rest(open_: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     largest component make blocks of their own, since they needn't meet each other; a band of m lines with u
     outside that component makes some m * u / CELL rows."""
     known = lines.join(roots, "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"), F.length("line").alias("n"))
-    at = save(open_.join(known, "id").select("key", "root", "band", (1 + F.col("n") / WEIGHT).alias("w")).distinct())
+    at = save(open_.join(known, "id").select("key", "root", "band", "bits", (1 + F.col("n") / WEIGHT).alias("w")).distinct())
     by_root = at.groupBy("band", "root").agg(F.sum("w").alias("w"))
     bands = by_root.groupBy("band").agg(F.sum("w").alias("w"), F.count("*").alias("roots"), F.max(F.struct("w", "root")).alias("top"))
     bands = bands.where("roots > 1").select(
@@ -425,10 +420,10 @@ def rest(open_: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     at = at.drop("w").join(bands, "band")
     some = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
     block = F.when(F.col("root") == F.col("top"), F.col("outside") + some("inside")).otherwise(some("outside"))
-    at = save(at.withColumn("block", block).select("key", "root", "band", "block", "outside", "inside"))
+    at = save(at.withColumn("block", block).select("key", "root", "band", "bits", "block", "outside", "inside"))
     other = F.when(F.col("block") < F.col("outside"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
     d = lines.select("key", "line").join(at, "key").withColumn("other", F.explode(other))
-    d = d.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "line")
+    d = d.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "line", "bits")
     d = d.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block")
     return map_rows(d, "a binary, b binary", _cells)
 
@@ -440,7 +435,7 @@ def removals(docs: DataFrame) -> DataFrame:
     met = save(candidates(signed))
     release(spark)
     pairs = save(met.where("band is null").select("a", "b").distinct())
-    open_ = met.where("band is not null").select("band", F.col("a").alias("id"))
+    open_ = met.where("band is not null").select("band", F.col("a").alias("id"), F.col("b").alias("bits"))
     lines = save(wanted_lines(docs, signed, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(open_.select("id"))))
     release(spark)
     links = save(verified(lines, pairs))
