@@ -59,9 +59,12 @@ def _hashes(text: str) -> np.ndarray:
     """64-bit hashes of the shingles at all places of a text of SHINGLE or more characters."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(c) - SHINGLE + 1
-    h = c[:n] * _POWERS[0]
-    for j in range(1, SHINGLE):
-        h += c[j : j + n] * _POWERS[j]
+    if n < 1024:  # fewer calls
+        h = np.correlate(c, _POWERS, "valid")
+    else:
+        h = c[:n] * _POWERS[0]
+        for j in range(1, SHINGLE):
+            h += c[j : j + n] * _POWERS[j]
     h ^= h >> np.uint64(29)
     h *= _MIX[0]
     return h
@@ -330,7 +333,8 @@ def candidates(signed: DataFrame) -> DataFrame:
 
 def _shingles(line: str) -> np.ndarray:
     """The set of hashes of all shingles, sorted."""
-    h = np.sort(_hashes(line))
+    h = _hashes(line)
+    h.sort()
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
@@ -350,7 +354,7 @@ def _near(rows) -> Iterator[tuple]:
 
 
 def wanted_lines(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, key, line) of all lines whose id is in ids."""
+    """(node, id, key, line) of all lines whose id is in ids; node, their number, holds once the table is written."""
     places = signed.where("bands is not null").withColumn("id", _id()).join(ids.distinct(), "id", "left_semi")
     places = places.groupBy("key").agg(F.min(F.struct("doc_id", "row", "idx")).alias("at")).select("key", "at.*")
     by_row = places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("idx", "key")).alias("wanted"))
@@ -359,14 +363,15 @@ def wanted_lines(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFram
     d = d.select("wanted", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
     d = d.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("lines", w["idx"]).alias("line")))).alias("w"))
     # rows that repeat one another repeat their lines
-    return d.select("w.*").dropDuplicates(["key"]).select(_id().alias("id"), "key", "line")
+    d = d.select("w.*").dropDuplicates(["key"])
+    return d.select(F.monotonically_increasing_id().alias("node"), _id().alias("id"), "key", "line")
 
 
 def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with a Jaccard similarity of SIMILARITY or more, as keys."""
-    of = lambda x: lines.select(F.col("id").alias(x), F.col("key").alias(f"key_{x}"), F.col("line").alias(f"line_{x}"))
+    """The pairs with a Jaccard similarity of SIMILARITY or more, as nodes."""
+    of = lambda x: lines.select(F.col("id").alias(x), F.col("node").alias(f"node_{x}"), F.col("line").alias(f"line_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return map_rows(both.select("key_a", "key_b", "line_a", "line_b"), "a binary, b binary", _near)
+    return map_rows(both.select("node_a", "node_b", "line_a", "line_b"), "a long, b long", _near)
 
 
 def _compare(rows: list[tuple], across: bool) -> Iterator[tuple]:
@@ -410,22 +415,22 @@ def rest(open_: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     """Links (a, b) between roots: those of all near lines that share an open band and have not the same root. The lines of a band's
     largest component make blocks of their own, since they needn't meet each other; a band of m lines with u
     outside that component makes some m * u / CELL rows."""
-    known = lines.join(roots, "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"), F.length("line").alias("n"))
-    at = save(open_.join(known, "id").select("key", "root", "band", "bits", (1 + F.col("n") / WEIGHT).alias("w")).distinct())
+    known = lines.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.length("line").alias("n"))
+    at = save(open_.join(known, "id").select("node", "root", "band", "bits", (1 + F.col("n") / WEIGHT).alias("w")).distinct())
     by_root = at.groupBy("band", "root").agg(F.sum("w").alias("w"))
     bands = by_root.groupBy("band").agg(F.sum("w").alias("w"), F.count("*").alias("roots"), F.max(F.struct("w", "root")).alias("top"))
     bands = bands.where("roots > 1").select(
         "band", F.col("top.root").alias("top"), F.ceil((F.col("w") - F.col("top.w")) / CELL).cast("int").alias("outside"), F.ceil(F.col("top.w") / CELL).cast("int").alias("inside")
     )
     at = at.drop("w").join(bands, "band")
-    some = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    some = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
     block = F.when(F.col("root") == F.col("top"), F.col("outside") + some("inside")).otherwise(some("outside"))
-    at = save(at.withColumn("block", block).select("key", "root", "band", "bits", "block", "outside", "inside"))
+    at = save(at.withColumn("block", block).select("node", "root", "band", "bits", "block", "outside", "inside"))
     other = F.when(F.col("block") < F.col("outside"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
-    d = lines.select("key", "line").join(at, "key").withColumn("other", F.explode(other))
+    d = lines.select("node", "line").join(at, "node").withColumn("other", F.explode(other))
     d = d.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "root", "line", "bits")
     d = d.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block")
-    return map_rows(d, "a binary, b binary", _cells)
+    return map_rows(d, "a long, b long", _cells)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -440,14 +445,16 @@ def removals(docs: DataFrame) -> DataFrame:
     release(spark)
     links = save(verified(lines, pairs))
     release(spark)
-    roots = connected_components(links).select(F.col("node").alias("key"), "root")
+    roots = connected_components(links)
     if not open_.isEmpty():
         more = save(rest(open_, lines, roots))
         release(spark)
         # one edge for each line that has a root, and those between roots
-        roots = connected_components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("key"), "root")
-    drop(met, pairs, lines, links)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = lines.select("node", "key").join(roots, "node").select("key", F.unhex(F.lpad(F.hex("root"), 16, "0")).alias("root"))
+    drop(met, pairs, links)
     by_key = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    # of 8 bytes where lines are near, of 16 where they are only equal
     several = by_key.join(roots, "key", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))
     stays = several.groupBy("root").agg(F.min("first").alias("stay"))
     decided = several.join(stays, "root").select("key", "root", "stay")
@@ -457,7 +464,8 @@ def removals(docs: DataFrame) -> DataFrame:
     gone = F.when(F.col("doc_id") == F.col("stay"), F.array_except("at", F.array(F.array_min("at")))).otherwise(F.col("at"))
     gone = own.select("doc_id", F.explode(gone).alias("p")).groupBy("doc_id", "p.row").agg(F.collect_set("p.idx").alias("gone"))
     gone = save(gone)
-    drop(signed)
+    drop(signed, lines)
+    release(spark)
     return gone
 
 
@@ -506,5 +514,5 @@ def report(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays; null text counts as empty)."""
     d = _kept(docs.select("doc_id", "text"), removals(docs))
     text = F.coalesce("text", F.lit(""))
-    n_lines = 1 + F.length(text) - F.length(F.translate(text, "\n", ""))
+    n_lines = 1 + F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return d.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("_kept", text), 256).alias("kept_sha256"))
