@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import map_rows
+from spindrift.llm.common import map_rows, release, save
 
 LENGTH = 50
 GRAM = 12
@@ -140,7 +140,7 @@ def _deal(block, splitters):
     ids, keys = (np.array([r[i] for r in block], np.int64) for i in (0, 1))
     shift = np.concatenate([[0], ends[:-1]]) - np.array([r[2] for r in block])
     # equal strings stand together, the smallest document's first
-    order = np.lexsort((np.arange(len(known)), known))
+    order = np.lexsort((np.arange(len(known)), last - first, known))
     doc, first, last, at, known = (x[order] for x in (doc, first, last, at, known))
     size = last - first + LENGTH
     new = _heads(known, size)
@@ -153,7 +153,13 @@ def _deal(block, splitters):
         step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         flat = np.frombuffer(data, np.uint8)
         differ = flat[np.repeat(first[d], k) + step] != flat[np.repeat(first[h], k) + step]
-        new[d[np.add.reduceat(differ, np.cumsum(k) - k) > 0]] = True
+        odd = head[d[np.add.reduceat(differ, np.cumsum(k) - k) > 0]]
+        for h in np.unique(odd).tolist():  # unlike strings of one hash: told apart by their bytes, in order
+            z = int(np.searchsorted(head, h, "right"))
+            own = sorted(range(h, z), key=lambda r: data[first[r] : last[r] + LENGTH])
+            doc[h:z], first[h:z], last[h:z], at[h:z] = doc[own], first[own], last[own], at[own]
+            strings = [data[a : b + LENGTH] for a, b in zip(first[h:z].tolist(), last[h:z].tolist(), strict=True)]
+            new[h:z] = [True, *(a != b for a, b in zip(strings, strings[1:], strict=False))]
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     again = ids[doc] > ids[doc[head]]
     if again.any():
@@ -391,7 +397,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _rows(docs).select("doc_id", "key", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends"), F.lit(1).alias("kind"), "text")
     texts = map_rows(texts, _BOTH, _squeezed, 200)
-    spans = repeated_spans(docs).select("doc_id", "key", "starts", "ends", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text"))
+    spans = save(repeated_spans(docs))
+    release(spark)  # the suffixes, before the texts are shuffled
+    spans = spans.select("doc_id", "key", "starts", "ends", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(rows):

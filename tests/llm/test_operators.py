@@ -361,3 +361,24 @@ def test_pii_many_terms(spark, monkeypatch):
 
 def test_registered():
     assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_suffix_collisions(monkeypatch):
+    """Strings that share a hash are told apart by their bytes: what a task knows to repeat is the same."""
+    rng = random.Random(6)
+    a, b, c = (bytes(rng.randrange(97, 123) for _ in range(50)) for _ in range(3))
+    block = [(1, 1, 0, a), (2, 2, 0, c + a), (3, 3, 0, b), (3, 4, 0, a), (4, 5, 0, c), (5, 6, 0, b + c)]
+
+    def known():
+        rows = suffix_dedup._deal(block, suffix_dedup.np.zeros(0, suffix_dedup.np.uint64))
+        return sorted((r[2:4], *sorted(zip(*(suffix_dedup.np.frombuffer(x, suffix_dedup.np.int64).tolist() for x in r[4:]), strict=True))) for r in rows if r[0] < 0)
+
+    want, plain = known(), suffix_dedup.anchors
+    assert (3, 4) in {k for k, *_ in want}
+
+    def collide(buf, ends):
+        *out, hashes = plain(buf, ends)
+        return (*out, hashes * suffix_dedup.np.uint64(0))
+
+    monkeypatch.setattr(suffix_dedup, "anchors", collide)
+    assert known() == want
