@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -64,6 +65,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now, not when the driver next
     happens to collect its garbage: on large inputs they are most of the disk in use."""
     gc.collect()
+    time.sleep(1.5)  # what Python has let go of reaches the JVM within a second
     spark.sparkContext._jvm.System.gc()
 
 
