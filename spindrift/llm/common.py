@@ -64,9 +64,16 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now, not when the driver next
     happens to collect its garbage: on large inputs they are most of the disk in use."""
-    gc.collect()
-    time.sleep(1.5)  # what Python has let go of reaches the JVM within a second
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    for _ in range(2):
+        gc.collect()
+        # what Python lets go of is told to the JVM by a thread that wakes once a second
+        waiting, until = getattr(sc._gateway._gateway_client, "finalizer_deque", None), time.monotonic() + 15
+        time.sleep(0.2 if waiting is not None else 1.5)
+        while waiting and time.monotonic() < until:
+            time.sleep(0.1)
+        time.sleep(0.2)
+        sc._jvm.System.gc()
 
 
 def doc_bytes(docs: DataFrame) -> DataFrame:
