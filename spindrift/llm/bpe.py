@@ -1,12 +1,11 @@
 """Byte-level BPE by overlapping chunks.
 
-A long text is cut into chunks that overlap. Every chunk is pre-tokenised from where it
-starts, and two neighbours are stitched where their pre-token boundaries coincide in the
-overlap; from there on both go the same way. Pre-tokens hold white space only in front,
-so a boundary is sure to lie wherever a white-space character follows another character:
-each chunk finds the cut on either side by itself, and no chunk waits for the one before
-it. The pieces between cuts are encoded apart, by as many tasks as there are; a text
-whose overlap has no such place is encoded as one piece. Decoding joins raw bytes.
+A long text is cut into chunks that overlap, wherever that falls. Every chunk is pre-tokenised by
+itself, from where it starts, and reports the boundaries of its pre-tokens that lie in the two overlaps. Two
+neighbours are stitched at the first boundary that both have there: the pattern looks only forward,
+so from a common boundary on both go the same way. The pieces between stitches are encoded
+apart, by as many tasks as there are. Neighbours without a common boundary (a pre-token longer
+than the overlap) become one piece. Decoding joins raw bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import hashlib
 from collections.abc import Callable
 from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +39,22 @@ def encoding(name: str = VOCABULARY):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def find_cut(text: str, start: int, end: int) -> int | None:
-    """The first place in [start, end) where white space follows another character."""
-    for i in range(max(start, 1), min(end, len(text))):
-        if text[i] in " \t\n\r" and not text[i - 1].isspace():
-            return i
-    return None
+@functools.cache
+def _pre_token():
+    """PATTERN, with white space as the tokenizer's library has it."""
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")), regex.compile(r"\p{White_Space}")
+
+
+def edges(part: str, first: bool) -> np.ndarray:
+    """Where pre-tokens of a chunk end that a piece may end with: not at its end, which may be amid a pre-token, and
+    not after white space, whose pre-tokens depend on what follows. But for the text's first chunk, the first two are
+    left out: a chunk that starts amid a pre-token may see a false one there, and none once a run of its own has ended."""
+    pattern, space = _pre_token()
+    ends = [z for m in pattern.finditer(part) if (z := m.end()) < len(part) and not space.match(part, z - 1)]
+    return np.array(ends if first else ends[2:], np.int64)
 
 
 class Encoder:
@@ -60,30 +70,43 @@ class Encoder:
 
 
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Overlapping chunks, of which cut_out() keeps the part between two cuts. One chunk, if
-    the text is short or an overlap has no cut."""
-    starts = range(size, len(text) - overlap, size)
-    cuts = [0, *(find_cut(text, s, s + overlap) for s in starts)]
-    if None in cuts or not starts:
-        return [text]
-    # the character before the start tells whether the start is a cut itself
-    return [text[max(0, s - 1) : e] for s, e in zip([0, *starts], [*(s + overlap for s in starts), len(text)], strict=True)]
-
-
-def cut_out(chunk: str, k: int, n: int, size: int = CHUNK, overlap: int = OVERLAP) -> str:
-    """What is chunk k's own among n: from the cut in its first overlap to that in its last."""
-    shift = 1 if k else 0
-    a = find_cut(chunk, shift, shift + overlap) if k else 0
-    z = find_cut(chunk, shift + size, shift + size + overlap) if k < n - 1 else len(chunk)
-    return chunk[a:z]
+    """Chunks of size + overlap characters, one every size characters; the last is shorter. overlap is size at most."""
+    return [text[a : a + size + overlap] for a in range(0, max(1, len(text) - overlap), size)]
+
+
+def pre_tokenised(part: str, k: int, size: int = CHUNK, overlap: int = OVERLAP) -> tuple[bytes, bytes]:
+    """The edges of chunk k in its first overlap, from its start, and in its last, from the next one's start."""
+    found = edges(part, k == 0)
+    return found[found < overlap].tobytes(), (found[found >= size] - size).tobytes()
+
+
+def stitched(rows, overlap: int = OVERLAP):
+    """Pieces (doc_id, key, number, last, text) from (doc_id, key, k, n, heads, tails, part) of chunks in order. Chunks
+    without a common edge run on as one piece."""
+    held, number, before = [], 0, b""
+    for doc_id, key, k, n, heads, tails, part in rows:
+        if k == 0:
+            held, number = [part], 0
+        else:
+            common = np.intersect1d(np.frombuffer(before, np.int64), np.frombuffer(heads, np.int64))
+            if len(common):
+                p = int(common[0])
+                yield doc_id, key, number, False, "".join([*held[:-1], held[-1][: len(held[-1]) - overlap + p]])
+                held, number = [part[p:]], number + 1
+            else:
+                held.append(part[overlap:])
+        before = tails
+        if k == n - 1:
+            yield doc_id, key, number, True, "".join(held)
+            held = []
 
 
 def encode_all(docs: DataFrame, finish: Callable, schema: str, vocabulary: str = VOCABULARY, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """finish(ids, decoded bytes) -> tuple of the columns in schema, for each row of docs, after doc_id.
 
     Short texts are encoded where they are read. The chunks of longer ones are dealt out to all
-    tasks by number, encoded, and only their ids meet again, in order, for finish(). Null
-    text counts as empty. Repeated rows give repeated results.
+    tasks by number and pre-tokenised, stitched in order, and the pieces dealt out again and encoded; only their ids
+    meet once more, in order, for finish(). Null text counts as empty. Repeated rows give repeated results.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
@@ -102,23 +125,25 @@ def encode_all(docs: DataFrame, finish: Callable, schema: str, vocabulary: str =
             for k, part in enumerate(parts):
                 yield doc_id, key, k, len(parts), part
 
-    def encode(rows):
-        import numpy as np
+    def pre_tokenise(rows):
+        for doc_id, key, k, n, part in rows:
+            yield doc_id, key, k, n, *pre_tokenised(part, k, size, overlap), part
+
+    def stitch(rows):
+        return stitched(rows, overlap)
 
+    def encode(rows):
         enc = Encoder(vocabulary)
-        for doc_id, key, k, n, part in rows:
-            own = part if n == 1 else cut_out(part, k, n, size, overlap)
-            yield doc_id, key, k, n, np.array(enc.encode(own), np.uint32).tobytes()
+        for doc_id, key, k, last, piece in rows:
+            yield doc_id, key, k, last, np.array(enc.encode(piece), np.uint32).tobytes()
 
     def join(rows):
-        import numpy as np
-
         enc, ids = Encoder(vocabulary), []
-        for doc_id, _, k, n, part in rows:
+        for doc_id, _, k, last, part in rows:
             if k == 0:
                 ids = []
             ids.extend(np.frombuffer(part, np.uint32).tolist())
-            if k == n - 1:
+            if last:
                 yield doc_id, *finish(ids, enc.decode(ids))
 
     short = map_rows(rows.where(~long), full, one, 500)
@@ -126,7 +151,10 @@ def encode_all(docs: DataFrame, finish: Callable, schema: str, vocabulary: str =
     keyed = rows.where(long).select("doc_id", F.monotonically_increasing_id().alias("key"), "text")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = map_rows(keyed, "doc_id long, key long, k int, n int, part string", deal, 16).repartition(n_parts, "key", "k")
-    ids = map_rows(dealt, "doc_id long, key long, k int, n int, part binary", encode, 64)
+    cut = map_rows(dealt, "doc_id long, key long, k int, n int, heads binary, tails binary, part string", pre_tokenise, 16)
+    cut = cut.repartition(n_parts, "key").sortWithinPartitions("key", "k")
+    pieces = map_rows(cut, "doc_id long, key long, k int, last boolean, piece string", stitch, 16).repartition(n_parts, "key", "k")
+    ids = map_rows(pieces, "doc_id long, key long, k int, last boolean, part binary", encode, 64)
     whole = map_rows(ids.repartition(n_parts, "key").sortWithinPartitions("key", "k"), full, join, 16)
     return short.union(whole)
 
@@ -162,10 +190,7 @@ def decode_ids(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def boundaries(text: str) -> list[int]:
-    """Where the pre-tokens of a text begin and end; for tests of the cuts."""
-    import public_tokenizers
-    import regex
-
-    spans = [m.span() for m in regex.finditer(public_tokenizers.PATTERN, text)]
+    """Where the pre-tokens of a text begin and end; for tests of the stitches."""
+    spans = [m.span() for m in _pre_token()[0].finditer(text)]
     assert all(a[1] == b[0] for a, b in pairwise(spans))
     return [a for a, _ in spans] + [len(text)]

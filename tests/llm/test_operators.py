@@ -105,19 +105,32 @@ def test_bpe(spark, sf_dir, awkward):
     same(bpe.decode_ids(ids), ["doc_id", "bytes"], [(i, bytearray((t or "").encode())) for i, t in AWKWARD])
 
 
+def pieces(text, size, overlap):
+    parts = bpe.chunks(text, size, overlap)
+    rows = [(1, 1, k, len(parts), *bpe.pre_tokenised(p, k, size, overlap), p) for k, p in enumerate(parts)]
+    return [r[4] for r in bpe.stitched(rows, overlap)]
+
+
 def test_cuts_are_boundaries():
-    rng = random.Random(5)
-    for _ in range(200):
-        text = "".join(rng.choice("ab1é \n\t\x1c'!s  ") for _ in range(200))
-        edges = set(bpe.boundaries(text))
-        parts = bpe.chunks(text, 40, 12)
-        if len(parts) > 1:
-            own = [bpe.cut_out(p, k, len(parts), 40, 12) for k, p in enumerate(parts)]
+    """Pieces make up the text, are cut where its pre-tokens end, and give its ids."""
+    rng, cuts, enc = random.Random(5), 0, bpe.encoding()
+    for alphabet in ("ab1\u00e9 \n\t\x1c'!s  ", "''srelv t", "\t\n  a.", "\u4e2d\u6587\u5b57\u3002"):
+        for _ in range(200):
+            text = "".join(rng.choice(alphabet) for _ in range(200))
+            edges = set(bpe.boundaries(text))
+            own = pieces(text, 40, 12)
             assert "".join(own) == text
             at = 0
             for p in own:
                 assert at in edges
                 at += len(p)
+            assert [i for p in own for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+            cuts += len(own) - 1
+    assert cuts > 1000
+    text = "\u4e2d\u6587\u3002" * 100_000  # no white space at all
+    own = pieces(text, bpe.CHUNK, bpe.OVERLAP)
+    assert "".join(own) == text and max(map(len, own)) <= bpe.CHUNK + bpe.OVERLAP and len(own) == len(bpe.chunks(text))
+    assert pieces("a" * 500, 40, 12) == ["a" * 500]
 
 
 def plain_url(url):
