@@ -15,30 +15,37 @@ WEAK = 0.5
 _PY_IDENTIFIER = re.compile(tx.IDENTIFIER)
 
 
-def find_by_symbols(items: DataFrame, symbols: list[str], limit: int) -> DataFrame:
-    """Items of each symbol, at most limit for each in the order of the table, then scored: 1, and 1
-    more if the symbol is asked for alone, less a thousandth for each line of its length."""
+def find_by_symbols(items: DataFrame, symbols: list[str], limit: int, prompt: str | None = None) -> DataFrame:
+    """lookup_symbols() for the identifiers of one prompt (without it, the symbols themselves)."""
     if limit < 1 or not symbols:
-        return items.limit(0).withColumn("score", F.lit(0.0)).withColumn("ident", F.lit(0))
-    asked = items.sparkSession.createDataFrame([(i, s) for i, s in enumerate(symbols)], "ident int, symbol string")
-    found = items.join(F.broadcast(asked), "symbol")  # the identifiers of one query
+        return items.limit(0).withColumn("ident", F.lit(0)).withColumn("score", F.lit(0.0))
+    prompt = " ".join(symbols) if prompt is None else prompt
+    asked = items.sparkSession.createDataFrame([(i, s, prompt) for i, s in enumerate(symbols)], "ident int, symbol string, prompt string")
+    return lookup_symbols(items, F.broadcast(asked), limit)  # the identifiers of one prompt
+
+
+def lookup_symbols(items: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """Items of each symbol asked for (ident, symbol, prompt), which may be qualified: at most limit for each in the order
+    of the table, with ident and score."""
+    asked = asked.select("ident", tx.normalize_symbol(F.col("symbol")).alias("symbol"), "prompt")
     w = Window.partitionBy("ident").orderBy("file_path", "start_line")
-    found = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
-    return found.withColumn("score", score_symbol(F.lit(" ".join(symbols))))
+    found = items.join(asked, "symbol").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    return found.withColumn("score", score_symbol(F.col("prompt"))).select(*items.columns, "ident", "score")
 
 
-def score_symbol(query):
-    return 1.0 + F.when(tx.normalize_symbol(F.col("symbol")) == query, 1.0).otherwise(0.0) - 0.001 * (F.col("end_line") - F.col("start_line"))
+def score_symbol(prompt):
+    """1, and 1 more if the symbol is the whole prompt, less a thousandth for each line of its length."""
+    return 1.0 + F.when(F.col("symbol") == prompt, 1.0).otherwise(0.0) - 0.001 * (F.col("end_line") - F.col("start_line"))
 
 
-def hybrid_search(items: DataFrame, prompt: str, embed: Callable[[str], list[float]], k: int, mmr: bool = False) -> DataFrame:
-    """Symbols named in the prompt; if they give fewer than k items, the rest by similarity. Items found
-    both ways appear twice. More than k items may come back if the symbols alone give them."""
+def hybrid_search(items: DataFrame, prompt: str, embed: Callable[[str], list[float]], k: int, mmr: bool = False, prefer_symbol: bool = False) -> DataFrame:
+    """Symbols named in the prompt; if they give fewer than k items, the rest by similarity, but with
+    prefer_symbol none. Items found both ways appear twice. More than k items may come back if the symbols alone give them."""
     symbols = [m.group() for m in _PY_IDENTIFIER.finditer(prompt)]
     columns = [*items.columns, "score"]
-    found = find_by_symbols(items, symbols, k).select(*columns)
+    found = find_by_symbols(items, symbols, k, prompt).select(*columns)
     n = found.count() if symbols else 0
-    if n >= k:
+    if n >= k or n and prefer_symbol:
         return found
     rest = search(items, embed(prompt), k - n, mmr).select(*columns)
     if not n:

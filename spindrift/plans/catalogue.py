@@ -147,13 +147,13 @@ def chunk_text(spark, sf_dir):
     return c.select("doc_id", "j", "start_line", "end_line", F.md5(F.lower(F.hex("body")).cast("binary")).alias("body_md5"))
 
 
-@query(_CHUNK + f"""SELECT k.doc_id, j::INT AS j, 'File: doc' || k.doc_id || chr(10) || 'Lines: ' || (1 + {_NL.format('400 * j')}) || '-' || (1 + {_NL.format('least(n, 400 * (j + 1))')}) || chr(10) || chr(10) || substr(text, a + 1, z - a) AS chunk
-FROM k JOIN documents d ON d.doc_id = k.doc_id WHERE length(text) = n""")
+@query(_CHUNK + f"""SELECT doc_id, j::INT AS j, md5(lower(hex(encode('File: doc' || doc_id || chr(10) || 'Lines: ' || (1 + {_NL.format('400 * j')}) || '-' || (1 + {_NL.format('least(n, 400 * (j + 1))')}) || chr(10) || chr(10)))) || substr(h, 2 * a + 1, 2 * (z - a))) AS chunk_md5 FROM k""")
 def chunk_text_formatted(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text"))  # the oracle slices characters
-    c = chunking.chunk_text(d, "text", "doc_id")
+    """A digest of the hex digits: a chunk may begin or end amid a character."""
+    c = chunking.chunk_text(table(spark, sf_dir, "documents"), "text", "doc_id")
     path = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    return c.select("doc_id", "j", chunking.format_chunk(path, F.col("start_line"), F.col("end_line"), F.col("body").cast("string")).alias("chunk"))
+    chunk = chunking.format_chunk(path, F.col("start_line"), F.col("end_line"), F.col("body").cast("string"))
+    return c.select("doc_id", "j", F.md5(F.lower(F.hex(chunk.cast("binary"))).cast("binary")).alias("chunk_md5"))
 
 
 _ID = "\\b([a-zA-Z]+[A-Z][a-zA-Z0-9]*|[a-z][a-z0-9]*_[a-z][a-z0-9_]*)\\b"
@@ -193,25 +193,27 @@ def _symbol_items(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_SYMBOLS}, asked AS (SELECT DISTINCT symbol FROM items WHERE symbol <> '' ORDER BY symbol LIMIT 10), f AS (SELECT i.*, row_number() OVER (PARTITION BY symbol ORDER BY file_path) AS n FROM items i JOIN asked USING (symbol))
-SELECT doc_id, symbol, round(1.0 - 0.001 * (end_line - 1), 6)::DOUBLE AS score FROM f WHERE n <= 3""")
+@query(f"""WITH {_SYMBOLS}, asked AS (SELECT DISTINCT symbol FROM items WHERE symbol <> '' AND doc_id % 20 = 0), f AS (SELECT i.*, row_number() OVER (PARTITION BY symbol ORDER BY file_path) AS n FROM items i JOIN asked USING (symbol))
+SELECT doc_id, symbol, round(2.0 - 0.001 * (end_line - 1), 6)::DOUBLE AS score FROM f WHERE n <= 3""")
 def symbol_lookup(spark, sf_dir):
+    """Each symbol of the documents whose id is divisible by 20, asked for by itself."""
     items = _symbol_items(spark, sf_dir)
-    asked = [r.symbol for r in items.where("symbol <> ''").select("symbol").distinct().orderBy("symbol").limit(10).collect()]
-    return hybrid.find_by_symbols(items, asked, 3).select("doc_id", "symbol", F.round(F.col("score").cast("double"), 6).alias("score"))
+    asked = items.where("symbol <> '' and doc_id % 20 = 0").select("symbol").distinct()
+    return hybrid.lookup_symbols(items, asked.select(F.col("symbol").alias("ident"), "symbol", F.col("symbol").alias("prompt")), 3).select("doc_id", "symbol", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 @query(f"""WITH {_SYMBOLS}, one AS (SELECT min(symbol) AS symbol FROM items WHERE symbol <> ''),
-a AS (SELECT doc_id, (2.0 - 0.001 * (end_line - 1))::DOUBLE AS score FROM items JOIN one USING (symbol) ORDER BY file_path LIMIT 8),
-b AS (SELECT vec_id AS doc_id, list_cosine_similarity({_E}, (SELECT {_E} FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT (8 - (SELECT count(*) FROM a)))
-SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY score DESC, doc_id LIMIT 8""")
+v AS (SELECT i.*, list_cosine_similarity({_E}, (SELECT {_E} FROM embeddings WHERE vec_id = 3)) AS near FROM items i JOIN embeddings ON vec_id = doc_id),
+a AS (SELECT doc_id, file_path, (1.0 - 0.001 * (end_line - 1))::DOUBLE AS score FROM v JOIN one USING (symbol) ORDER BY file_path LIMIT 8),
+b AS (SELECT doc_id, file_path, near AS score FROM v ORDER BY near DESC, file_path LIMIT (8 - (SELECT count(*) FROM a)))
+SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY score DESC, file_path LIMIT 8""")
 def hybrid_search(spark, sf_dir):
+    """The operator, asked in a sentence for the first symbol of the documents; their vectors are those of the same number."""
     items = _symbol_items(spark, sf_dir)
     one = items.where("symbol <> ''").agg(F.min("symbol")).first()[0]
-    found = hybrid.find_by_symbols(items, [one], 8).select("doc_id", F.col("score").cast("double").alias("score"))
-    near = topk.scored(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3))
-    rest = topk.top_k(near, 8 - found.count(), "vec_id").select(F.col("vec_id").alias("doc_id"), "score")
-    return topk.top_k(found.unionByName(rest), 8, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    got = hybrid.hybrid_search(items.join(vectors, "doc_id"), f"what does {one} do", lambda prompt: _vector(spark, sf_dir, 3), 8)
+    return got.select("doc_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, max(list_cosine_similarity(q.v, i.v)) AS best FROM e q JOIN e i ON q.vec_id <> i.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1)

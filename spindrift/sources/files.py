@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +18,67 @@ EXTENSIONS = (".go", ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".rs", ".c",
 
 
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, user_patterns: list[str] | None = None) -> DataFrame:
-    """(path, content) of the files that are indexed. Size, name and rules are tested before content is
-    read: the filters name only the path and the length."""
+    """(path, content) of the files that are indexed. The tree is listed first, without going into folders that are
+    ignored; size, name and rules are tested on the list, and only what stays is read."""
     wanted = [(e if e.startswith(".") else "." + e).lower() for e in (extensions or EXTENSIONS)]
     rules = ignore.load(spark, root, user_patterns)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
-        .where(F.col("length") <= MAX_BYTES)
-    )
-    prefix = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root)).toString()
-    rel = F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(prefix) + 2})")
-    files = files.withColumn("path", rel)
+    base, files = listing(spark, root, rules)
+    listed = spark.createDataFrame(files, "path string, length long").where(F.col("length") <= MAX_BYTES)
     name = basename(F.col("path")).isin(*SPECIAL) | F.lower(extension(F.col("path"))).isin(*wanted)
-    return files.where(name & ~ignore.excluded(F.col("path"), rules)).select("path", "content")
+    paths = [r.path for r in listed.where(name & ~ignore.ignored(F.col("path"), F.lit(False), rules)).select("path").collect()]  # names, as listed
+    hidden = [p for p in paths if any(x[0] in "._" for x in p.split("/"))]
+    plain = sorted(set(paths) - set(hidden))
+    out = _read_hidden(spark, base, hidden)
+    if plain:
+        read = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        rel = F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(base) + 2})")
+        out = out.unionByName(read.load([_literal(f"{base}/{p}") for p in plain]).select(rel.alias("path"), "content"))
+    return out
+
+
+def listing(spark: SparkSession, root: str, rules: list[ignore.Rule]) -> tuple[str, list[tuple[str, int]]]:
+    """The root as a full path, and (path below it, length) of every file that isn't in an ignored folder, level by level."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, files, level = fs.makeQualified(top).toString(), [], [""]
+    while level:
+        folders = []
+        for at in level:
+            for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{at}") if at else top):
+                path = f"{at}/{s.getPath().getName()}" if at else s.getPath().getName()
+                if s.isDirectory():
+                    folders.append((path,))
+                else:
+                    files.append((path, s.getLen()))
+        named = spark.createDataFrame(folders, "path string")
+        level = [r.path for r in named.where(~ignore.ignored(F.col("path"), F.lit(True), rules)).collect()] if folders else []
+    return base, files
+
+
+def _literal(path: str) -> str:
+    """path as a glob that stands for itself."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _read_hidden(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    """(path, content) of files that Spark's readers pass over, by their name or a folder's; files that can't be read are left out."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        local = base.startswith("file:")
+        system, top = (fs.LocalFileSystem(), "/" + base[5:].lstrip("/")) if local else fs.FileSystem.from_uri(base)
+        for b in batches:
+            kept = []
+            for p in b.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{top}/{p}") as f:
+                        kept.append((p, f.read()))
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.binary())], names=["path", "content"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, content binary")
 
 
 def read_file(spark: SparkSession, path: str) -> str:
