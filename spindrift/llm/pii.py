@@ -2,10 +2,11 @@
 
 Patterns find the protected entities themselves: e-mail, IP, card and phone numbers. Other
 words can give an entity away as well. How much a term tells about an entity is estimated
-from the whole corpus: of all places where the term stands, the share that are within
-REACH characters of that entity, against the share that any place is. Terms that stand by one
-entity in at least MIN_CONTEXTS different contexts, and there in at least GENERALISE of
-their places, are generalised; from REMOVE on they are removed.
+from the whole corpus, in bits. Of all places of terms, the share within REACH characters of an entity is the
+chance to meet it, and its negative logarithm the uncertainty; of the term's own places the share there is the chance given the term, and
+leaves some uncertainty. A term that stands by one entity in at least MIN_CONTEXTS different contexts and
+tells at least MIN_BITS about it is generalised if at most GENERALISE_BITS are left, and
+removed if at most REMOVE_BITS are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "contains(t, '@')", "ip": "t rlike '[0-9]\\\\.[0-9]'", "card": "t rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "contains(t, '+')"}
-REACH, MIN_CONTEXTS, GENERALISE, REMOVE = 60, 5, 0.5, 0.9
+REACH, MIN_CONTEXTS = 60, 5
+#: Bits that a term must tell about an entity, and that it may leave open at most.
+MIN_BITS, GENERALISE_BITS, REMOVE_BITS = 1.0, 1.0, 0.152
+#: The same as shares of the term's places; a share that is equal to one counts.
+GENERALISE, REMOVE = (round(2**-x, 4) for x in (GENERALISE_BITS, REMOVE_BITS))
 #: As many terms may go into an expression; more are joined.
 MAX_LITERAL_TERMS = 2000
 _TERM = r"\p{L}{4,}"
@@ -76,8 +81,8 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
-    """(term, share, bits): terms that give an entity away, the share of their places near it, and the
-    information in bits that the term carries about the entity. found: from find_base()."""
+    """(term, share, bits): terms that give an entity away, the share of their places near it (-log2 of it is the
+    uncertainty left), and the bits that the term tells about the entity. found: from find_base()."""
     e = where_computed(found, F.size("base") > 0).select("t", F.explode("base").alias("s"))
     near = F.concat(
         F.expr(f"substr(t, greatest(1, s.start - {REACH - 1}), least({REACH}, s.start))"), F.lit(" | "), F.expr(f"substr(t, s.end + 1, {REACH})")
@@ -94,13 +99,18 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     places = found.select(F.explode(F.transform(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0)), lambda w: F.lower(w))).alias("term"))
     wanted = pairs.select("term").distinct()
     # the terms are few as long as they are counted to be; else both sides are dealt out by term
+    wanted = wanted.withColumn("_wanted", F.col("term"))
     wanted = F.broadcast(wanted) if n_terms <= 50_000 else wanted
-    n_t = places.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = by_context.groupBy("entity").agg(F.countDistinct("context").alias("n_e"))
-    n = found.agg(F.sum(F.length("t") / 6)).first()[0] or 1.0  # places in all, at six characters a word
+    # one pass: the places of each of them, and of all other terms together
+    n_t = cut(places.join(wanted, "term", "left").groupBy("_wanted").agg(F.count("*").alias("n_t")))
+    n = n_t.agg(F.sum("n_t")).first()[0]
+    n_t = n_t.where("_wanted is not null").withColumnRenamed("_wanted", "term")
+    n_e = by_context.groupBy("entity").agg(F.sum("n").alias("n_e"))  # the places near the entity
     share = F.col("n_et") / F.greatest("n_t", "n_et")
-    told = pairs.join(n_t, "term").join(n_e, "entity").select("term", share.alias("share"), F.log2(share / (F.col("n_e") / F.lit(float(n)))).alias("bits"))
-    return cut(told.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
+    before = -F.log2(F.least(F.col("n_e") / F.lit(float(n)), F.lit(1.0)))
+    told = pairs.join(n_t, "term").join(n_e, "entity").select("term", share.alias("share"), (before + F.log2(share)).alias("bits"))
+    told = told.where((F.col("bits") >= MIN_BITS) & (F.col("share") >= GENERALISE))
+    return cut(told.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
 
 
 def _with_held(found: DataFrame, terms: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against a plain version, on the smallest tables and on awkward rows."""
 
+import math
 import random
 
 import pytest
@@ -372,6 +373,17 @@ def test_pii_many_terms(spark, monkeypatch):
     assert len(got) == 26 and not any("[term]" in t or n in t for t in got for n in names)
 
 
+def test_pii_bits(spark):
+    """Bits by hand: a term that tells little about an entity, since most places are near it, stays."""
+    rows = [(i, f"zorblax me@site.org n{chr(97 + i)}otes") for i in range(8)]  # every place of a term is near the entity
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.disclosing_terms(pii.find_base(docs)).collect() == []
+    far = [(100, " ".join(["quebec"] * 1000))]
+    got = pii.disclosing_terms(pii.find_base(docs.union(spark.createDataFrame(far, docs.schema)))).collect()
+    # 16 of 1024 places are near: 8 of zorblax, and a word of its own in each text; "site" is the address's own
+    assert [(r.term, r.share, round(r.bits, 6)) for r in got] == [("zorblax", 1.0, round(math.log2(1024 / 16), 6))]
+
+
 def test_registered():
     assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 11)]
 
