@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; only the document has a label. A sentence's score is a
-logistic function of its words, and the bag's is their noisy-or, 1 - prod(1 - p): one
+logistic function of its words, each as often as it occurs, and the bag's is their noisy-or, 1 - prod(1 - p): one
 offending sentence is enough. The weights are fitted to the documents' labels through
 the noisy-or, and the fitted sentence scores then say where the offence is.
 """
@@ -24,6 +24,8 @@ MAX_LABELLED = 4000
 #: A feature is used if so many of the toxic labelled texts hold it, and if the likelihood ratio
 #: statistic of label against feature is at least this.
 MIN_DOCS, MIN_G2 = 4, 16.0
+#: Lengths of stems. A stem is the only sign of words that are too rare each to be learnt.
+STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = ".,;:!?\"'()[]{}<>%#*&$|_-"
@@ -35,12 +37,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def words(sentence: str) -> list[str]:
-    return [x for w in sentence.lower().split() if (x := w.strip(_EDGES))]
+    return [x for w in sentence.lower().replace(",", " ").split() if (x := w.strip(_EDGES))]
 
 
 def features(word: str) -> tuple[str, ...]:
-    """A word, and the stems of 4 and 5 letters that longer words begin with."""
-    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))
+    """A word, and the stems of STEMS letters that longer words begin with."""
+    return (word, *(f"{word[:n]}*" for n in STEMS if len(word) > n))
 
 
 @dataclass
@@ -56,16 +58,15 @@ class Model:
         return [p for _, _, p in self.scored_sentences(text)]
 
     def scored_sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of every sentence with more than commas."""
+        """(start, end, score) of every sentence with a word."""
         get, starts, out = self.weights.get, self.starts, []
         plain = 1 / (1 + math.exp(-self.bias))
         for a, z in sentences(text):
-            w = text[a:z].lower().replace(",", " ").split()
+            w = words(text[a:z])
             if w:
-                odd = [x for y in w if (x := y.strip(_EDGES))[:4] in starts]
+                odd = [x for x in w if x[:4] in starts]
                 if odd:
-                    found = {f for x in odd for f in features(x)}
-                    total = self.bias + sum(get(f, 0.0) for f in found)
+                    total = self.bias + sum(get(f, 0.0) for x in odd for f in features(x))
                     p = 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
                 else:
                     p = plain
@@ -81,7 +82,7 @@ def noisy_or(p: list[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if p else 0.0
 
 
-def select(bags: list[list[set]], y: list[int]) -> dict[str, int]:
+def select(bags: list[list[list]], y: list[int]) -> dict[str, int]:
     """The features that toxic texts hold more often than chance has it, numbered."""
     n = Counter(y)
     held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -99,14 +100,14 @@ def select(bags: list[list[set]], y: list[int]) -> dict[str, int]:
     return {f: i for i, f in enumerate(sorted(out))}
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.1, l2: float = 0.005) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.1, l2: float = 0.05) -> Model:
     """Full-batch Adam on the log loss of the noisy-or; deterministic. Equal texts count once, as
     toxic if any of them is. Without texts of both labels there is nothing to learn: every
     score is then close to 0."""
     one: dict[str, int] = {}
     for t, v in zip(texts, labels, strict=True):
         one[t] = max(one.get(t, 0), int(v > 0))
-    bags = {t: [{f for w in words(t[a:z]) for f in features(w)} for a, z in sentences(t)] for t in one}
+    bags = {t: [[f for w in words(t[a:z]) for f in features(w)] for a, z in sentences(t)] for t in one}
     bags = {t: [s for s in b if s] for t, b in bags.items()}
     y = np.array([one[t] for t, b in bags.items() if b], float)
     bags = [b for b in bags.values() if b]
