@@ -20,11 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where the session has none
-    (tests, one machine) a temporary folder is set."""
+    """The shared folder of spark.checkpoint.dir; where the session has none, a temporary
+    folder on one machine (tests) and an error on a cluster, which has no folder we could know of."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spindrift-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)

@@ -95,15 +95,16 @@ def ledger(docs: DataFrame) -> DataFrame:
     return m.withColumn("failed", failed_bits())
 
 
-def failed_bits() -> Column:
+def failed_bits(prefix: str = "") -> Column:
+    """Bit i: RULES[i] fails; the measurements are columns of their names after prefix."""
     bits = F.lit(0).cast("long")
     for i, (_, condition) in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        bits = bits.bitwiseOR(F.when(F.expr(_prefixed(condition, prefix)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     return bits
 
 
-def kept(policy: Policy) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0
+def kept(policy: Policy, failed: str = "failed") -> Column:
+    return F.col(failed).bitwiseAND(F.lit(policy.mask)) == 0
 
 
 def report(docs: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -117,15 +118,12 @@ def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     names = [f"_doc_{i}" for i in range(len(docs.columns))]  # no clash with names of our own
     text = names[docs.columns.index("text")]
     m = measured(docs.toDF(*names), text)
-    bits = F.lit(False)
-    for rule, condition in RULES:
-        if rule in POLICIES[version].rules:
-            bits = bits | F.expr(_prefixed(condition))
-    return where_computed(m, ~bits).select(*names).toDF(*docs.columns)
+    m = m.withColumn("_failed", failed_bits("_"))
+    return where_computed(m, kept(POLICIES[version], "_failed")).select(*names).toDF(*docs.columns)
 
 
-def _prefixed(condition: str) -> str:
-    return re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_\1", condition)
+def _prefixed(condition: str, prefix: str) -> str:
+    return re.sub(r"\b(" + "|".join(MEASURES) + r")\b", prefix + r"\1", condition)
 
 
 def ablation(ledger_rows: DataFrame, version: str = CURRENT) -> DataFrame:
