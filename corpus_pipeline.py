@@ -6,12 +6,10 @@ columns of documents. The stages call the operators of spindrift.llm.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import bpe, decontam, line_dedup, quality, simhash
-from spindrift.llm.common import ensure_checkpoint_dir, read
+from spindrift.llm.common import drop, read, save
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+    """All stages over documents; each but the last is written to the shared folder and read again,
+    and deleted when the next one is written. What the last one reads stays."""
+    docs, written = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+        if written is not None:
+            drop(written)
+        written = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
