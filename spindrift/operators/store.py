@@ -37,7 +37,7 @@ class Store:
     """Tables under a folder that Spark can write. A table's folder holds versions; a commit writes the
     new version, then the pointer to it, so a reader sees the old table or the new one."""
 
-    TABLES = {"items": schemas.ITEMS, "meta": schemas.META, "summary": schemas.SUMMARY, "memory": schemas.MEMORY, "queue": schemas.QUEUE}
+    TABLES = {"items": schemas.ITEMS, "meta": schemas.META, "summary": schemas.SUMMARY, "memory": schemas.MEMORY, "queue": schemas.QUEUE, "done": schemas.DONE}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -67,6 +67,14 @@ class Store:
         out.write(bytearray(version.encode()))
         out.close()
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows, and write nothing but these: writers needn't know of each other. A table that is
+        appended to is never replaced."""
+        if self._current(name) is None:
+            self.replace(name, self.spark.createDataFrame([], self.TABLES[name]))
+        typed = self.spark.createDataFrame([], self.TABLES[name]).unionByName(df)
+        typed.write.mode("append").parquet(f"{self.folder}/{name}/{self._current(name)}")
+
     def reset(self) -> None:
         for name in ("items", "summary", "meta"):
             self.replace(name, self.spark.createDataFrame([], self.TABLES[name]))
@@ -98,23 +106,39 @@ class Store:
         return rows[0].content if rows else ""
 
     def memory(self) -> dict:
-        rows = self.read("memory").where("id = 1").limit(1).collect()
+        rows = self._memory_rows()
         r = rows[0].asDict() if rows else {"project_summary": "", "topics": [], "preferences": []}
         return {"project_summary": r["project_summary"] or "", "topics": r["topics"] or [], "preferences": r["preferences"] or []}
 
+    def _memory_rows(self) -> list:
+        return self.read("memory").where("id = 1").limit(1).collect()
+
+    def pending(self, queue: DataFrame) -> DataFrame:
+        """The rows of a queue whose ids aren't done: neither among those told to be, nor folded by the state."""
+        folded = self.read("memory").where("id = 1").select(F.explode("folded").alias("id"))
+        return delete_in(queue, self.read("done").union(folded))
+
     def queue(self) -> DataFrame:
-        return self.read("queue").orderBy("created_at", "id")
+        return self.pending(self.read("queue")).orderBy("created_at", "id")
 
     def enqueue(self, payload: str) -> str:
         key = str(uuid.uuid4())
         row = self.spark.createDataFrame([(key, payload)], "id string, payload string").withColumn("created_at", F.current_timestamp())
-        self.replace("queue", self.read("queue").unionByName(row))
+        self.append("queue", row)
         return key
 
     def commit_memory(self, memory: dict, done: list[str]) -> None:
-        """The new state first, then the queue without what is done: a crash between repeats work, and
-        loses none."""
-        row = self.spark.createDataFrame([(1, memory["project_summary"], memory["topics"], memory["preferences"])], "id int, project_summary string, topics array<string>, preferences array<string>")
+        """The new state, which holds the ids folded into it, is one commit; the ids are listed as done after
+        it, and before the next one again if a crash came between. So each is folded once."""
+        for r in self._memory_rows():
+            self._list_done(r.folded or [])
+        row = (1, memory["project_summary"], memory["topics"], memory["preferences"], done)
+        row = self.spark.createDataFrame([row], "id int, project_summary string, topics array<string>, preferences array<string>, folded array<string>")
         self.replace("memory", row.withColumn("updated_at", F.current_timestamp()))
-        if done:
-            self.replace("queue", delete_in(self.read("queue"), self.spark.createDataFrame([(d,) for d in done], "id string")))
+        self._list_done(done)
+
+    def _list_done(self, ids: list[str]) -> None:
+        if ids:
+            new = delete_in(self.spark.createDataFrame([(x,) for x in ids], "id string"), self.read("done"))
+            if not new.isEmpty():
+                self.append("done", new)

@@ -22,7 +22,7 @@ from spindrift.schemas import IndexStatus, Mode
 from spindrift.session import ship
 from spindrift.sources import files as fs
 from spindrift.sources.config import Config
-from spindrift.sources.web import answer_context
+from spindrift.sources.web import answer_context, web_pages
 from spindrift.streaming import memory as mem
 
 
@@ -60,8 +60,9 @@ def file_signals(files: DataFrame, include_local: bool = True) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config, provider: Provider):
-        self.spark, self.config, self.provider = spark, config, provider
+    def __init__(self, spark: SparkSession, config: Config, provider: Provider, get: Callable[[str], str] | None = None):
+        """get: gives a url's page, for web searches."""
+        self.spark, self.config, self.provider, self.get = spark, config, provider, get
         self.store = Store(spark, config.store)
 
     # --- index
@@ -106,8 +107,11 @@ class Engine:
     def ask(self, prompt: str, **options) -> str:
         o = Options(**options)
         chunks = []
-        if o.web_pages is not None and o.web > 0:
-            got = answer_context(o.web_pages, prompt, min(10, o.web)).orderBy("rank").collect()
+        pages, most = o.web_pages, min(10, o.web)
+        if pages is None and self.get is not None and most > 0:
+            pages = web_pages(self.spark, prompt, most, self.get).persist()  # each page is asked for once
+        if pages is not None and most > 0:
+            got = answer_context(pages, prompt, most).orderBy("rank").collect()
             chunks = [{"source": r.chunk_id, "score": r.score, "text": r.text} for r in got]
         return self._finish(prompt, prompts.render("ask", prompt, system=o.system, memory=self.store.memory(), structured=o.structured, chunks=chunks), o)
 

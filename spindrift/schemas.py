@@ -5,8 +5,9 @@ from enum import StrEnum
 ITEMS = "file_path string, symbol string, kind string, start_line int, end_line int, content string, embedding array<double>"
 META = "id int, project_root string, config_hash string, version string, created_at timestamp"
 SUMMARY = "project_root string, content string, updated_at timestamp"
-MEMORY = "id int, project_summary string, topics array<string>, preferences array<string>, updated_at timestamp"
+MEMORY = "id int, project_summary string, topics array<string>, preferences array<string>, updated_at timestamp, folded array<string>"
 QUEUE = "id string, payload string, created_at timestamp"
+DONE = "id string"
 QUEUE_PAYLOAD = "user_input string, assistant_output string"
 EXTRACTION = "summary_update string, topics_add array<string>, preferences_add array<string>"
 CHUNKS = "start_line int, end_line int, text string, symbol string, kind string"

@@ -3,11 +3,15 @@ network the pages of a table take their place."""
 
 from __future__ import annotations
 
+import random
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+from urllib.parse import quote_plus
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.chunking import WEB_CAP, WEB_MIN, web_chunks
@@ -16,11 +20,55 @@ from spindrift.functions.text import clean_url
 from spindrift.operators.bm25 import select_top
 from spindrift.session import ship
 
-CONCURRENCY, INTERVAL = 5, 0.5
+#: Tasks that fetch at once, and seconds from one page of a task to the next, the second of them at random.
+CONCURRENCY, INTERVAL, JITTER = 5, 0.5, 0.3
+#: Where a search is asked for, and the class of its results' links.
+SEARCH, LINK = "https://html.duckduckgo.com/html/?q=", "result__a"
 
 
-def fetch(urls: DataFrame, get: Callable[[str], str], interval: float = INTERVAL) -> DataFrame:
-    """(url, html): at most CONCURRENCY tasks, each with its own pace; urls that fail are dropped."""
+def get_page(url: str, timeout: float = 10) -> str:
+    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"})
+    with urllib.request.urlopen(request, timeout=timeout) as r:
+        return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+
+
+class _Links(HTMLParser):
+    """(title, href) of the links of class LINK."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.href, self.title = [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        if tag == "a" and LINK in (named.get("class") or "").split():
+            self.href, self.title = named.get("href") or "", []
+
+    def handle_data(self, data):
+        self.title.append(data)
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.href is not None:
+            self.found.append(("".join(self.title).strip(), self.href))
+            self.href = None
+
+
+def search_web(spark: SparkSession, query: str, limit: int, get: Callable[[str], str] = get_page) -> DataFrame:
+    """(title, url) of the first results of a web search, limit at most."""
+    links = _Links()
+    links.feed(get(SEARCH + quote_plus(query)))
+    return results(spark.createDataFrame(links.found, "title string, url string"), limit)
+
+
+def web_pages(spark: SparkSession, query: str, limit: int, get: Callable[[str], str] = get_page, interval: float = INTERVAL, jitter: float = JITTER) -> DataFrame:
+    """(page_id, url, html) of the pages that a web search finds; those that can't be fetched are left out."""
+    got = fetch(search_web(spark, query, limit, get), get, interval, jitter).where("error is null")
+    return got.select(F.row_number().over(Window.orderBy("url")).cast("long").alias("page_id"), "url", "html")  # limit rows
+
+
+def fetch(urls: DataFrame, get: Callable[[str], str], interval: float = INTERVAL, jitter: float = JITTER) -> DataFrame:
+    """(url, html, error) of every url: at most CONCURRENCY tasks, each with its own pace; a url that fails
+    has an error and no html."""
     ship(urls.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,14 +76,13 @@ def fetch(urls: DataFrame, get: Callable[[str], str], interval: float = INTERVAL
             out = []
             for u in b["url"]:
                 try:
-                    out.append((u, get(u)))
-                except Exception:  # noqa: BLE001  one page less
-                    continue
-                finally:
-                    time.sleep(interval)
-            yield pd.DataFrame(out, columns=["url", "html"])
-
-    return urls.select("url").repartition(CONCURRENCY).mapInPandas(run, "url string, html string")
+                    out.append((u, get(u), None))
+                except Exception as e:  # noqa: BLE001  reported in the row
+                    out.append((u, None, str(e) or type(e).__name__))
+                time.sleep(interval + random.uniform(0, jitter))
+            yield pd.DataFrame(out, columns=["url", "html", "error"])
+
+    return urls.select("url").repartition(CONCURRENCY).mapInPandas(run, "url string, html string, error string")
 
 
 def results(rows: DataFrame, limit: int) -> DataFrame:

@@ -87,13 +87,14 @@ def memory_text(m: dict) -> str:
 
 
 def stream_flush(queue_folder: str, store, extract: Callable[[dict, dict], str], checkpoint: str):
-    """The same fold as a stream over a folder of queue files: each batch is folded in order and
-    committed once; the query's checkpoint stands in for deleting what is done."""
+    """The same fold as a stream over a folder of queue files: each batch is folded in order, row by row. A batch
+    that is replayed after a crash finds its ids done, and adds nothing."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = [(r.id, r.payload) for r in df.orderBy("created_at", "id").toLocalIterator()]
-        memory, _, _ = fold(rows, store.memory(), extract)
-        store.commit_memory(memory, [])
+        rows = ((r.id, r.payload) for r in store.pending(df).orderBy("created_at", "id").toLocalIterator())
+        memory, done, _ = fold(rows, store.memory(), extract)
+        if done:
+            store.commit_memory(memory, done)
 
     stream = store.spark.readStream.schema(schemas.QUEUE).parquet(queue_folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

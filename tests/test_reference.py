@@ -1,12 +1,15 @@
 """The retrieval engine against literal cases."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift import cli
 from spindrift.functions import chunking, golang, html
 from spindrift.functions import text as tx
 from spindrift.operators import bm25, hybrid, store, summary, topk
-from spindrift.plans import catalogue, prompts
+from spindrift.plans import catalogue, output, prompts
 from spindrift.plans.engine import Engine
 from spindrift.plans.provider import HashingProvider
 from spindrift.schemas import IndexStatus, Mode
@@ -205,3 +208,107 @@ def test_symbols_and_summary(spark):
 @pytest.mark.parametrize("name", ["vector_topk", "bm25_scores", "chunk_text", "memory_fold", "web_select_top"])
 def test_queries(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_queue_is_appended_to(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    keys = [s.enqueue(memory.to_payload(str(i), "")) for i in range(3)]
+    assert {r.id for r in s.queue().collect()} == set(keys)
+    s.commit_memory(memory.EMPTY | {"topics": ["a"]}, keys[:1])
+    late = s.enqueue(memory.to_payload("late", ""))  # a message that comes while the queue is folded isn't lost
+    assert {r.id for r in s.queue().collect()} == {*keys[1:], late}
+    s._list_done = lambda ids: None  # a crash between the state and the list of what is done
+    s.commit_memory(memory.EMPTY | {"topics": ["a", "b"]}, keys[1:2])
+    del s._list_done
+    assert {r.id for r in s.queue().collect()} == {keys[2], late}
+    s.commit_memory(memory.EMPTY, [keys[2]])
+    assert [r.id for r in s.queue().collect()] == [late]
+
+
+def test_replayed_batch(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    q = str(tmp_path / "q")
+    spark.createDataFrame([("1", memory.to_payload("a", "b"))], "id string, payload string").withColumn("created_at", F.current_timestamp()).write.parquet(q)
+    for c in ("c1", "c2"):  # a checkpoint that knows nothing of the first run
+        memory.stream_flush(q, s, lambda x, m: '{"topics_add": ["t%d"]}' % len(m["topics"]), str(tmp_path / c)).awaitTermination()
+    assert s.memory()["topics"] == ["t0"]
+
+
+FOUND = '<div class="result"><a class="result__a x" href="//d.com/l/?uddg=https%3A%2F%2Fa.com%2Fp">First <b>page</b></a></div><a href="/no">n</a><div class="result"><a class="result__a" href="https://b.com">B</a><a class="result__a" href=""></a></div>'
+
+
+def page(url):
+    if "q=" in url:
+        assert url.endswith("?q=go+channels%3F")
+        return FOUND
+    if url == "https://b.com":
+        raise OSError("gone")
+    return "<p>" + "Go channels carry values between goroutines that run at the same time. " * 6 + "</p>"
+
+
+def test_web_pages(spark):
+    assert [tuple(r) for r in web.search_web(spark, "go channels?", 5, page).collect()] == [("First page", "https://a.com/p"), ("B", "https://b.com")]
+    assert web.search_web(spark, "go channels?", 1, page).count() == 1
+    got = {r.url: r.error for r in web.fetch(web.search_web(spark, "go channels?", 5, page), page, 0, 0).collect()}
+    assert got == {"https://a.com/p": None, "https://b.com": "gone"}
+    assert [(r.page_id, r.url) for r in web.web_pages(spark, "go channels?", 5, page, 0, 0).collect()] == [(1, "https://a.com/p")]
+
+
+def test_output(tmp_path):
+    cases = {
+        "just text": ("just text", ""), "```go\na()\n```": ("a()\n", "go"), "x ```\ncode\n``` y": ("code\n", ""),
+        "```go\na\n```\n```go\nb\n```": ("a\n", "go"), "```rust\nlet x = 1;\n```": ("let x = 1;\n", "rust"),
+    }
+    assert {k: (c.content, c.language) for k in cases if (c := output.Code.of(k))} == cases
+    for bad in ("```go\nincomplete", "```go"):
+        with pytest.raises(ValueError):
+            output.Code.of(bad)
+    p = tmp_path / "new" / "a.go"
+    output.append_to(str(p))("```go\na\n```")
+    assert p.read_text() == "a\n"
+    output.append_to(str(p))("```go\nb\n```")
+    assert p.read_text() == "a\n\n\n// ---- AI GENERATED CODE ----\n\nb\n"
+    p.write_text("1\n2\n3\n4")
+    output.Code("x").replace(str(p), 2, 3)
+    assert p.read_text() == "1\nx\n4"
+    output.Code("y\n").replace(str(p), 3, 99)
+    assert p.read_text() == "1\nx\ny\n"
+    for at in ((0, 1), (3, 2)):
+        with pytest.raises(ValueError):
+            output.Code("x").replace(str(p), *at)
+    with pytest.raises(ValueError):
+        output.Code("x").append("")
+    assert output.line_numbers("3-7") == (3, 7) and output.line_numbers(" ") is None
+    for bad in ("3", "1-2-3", "a-b", "3:7"):
+        with pytest.raises(ValueError):
+            output.line_numbers(bad)
+
+
+def test_cli(spark, tmp_path):
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "a.go").write_text("package a\n\n// LoadConfig reads.\nfunc LoadConfig() {\n\treadFile()\n}\n")
+    replies = {"long-term memory": '{"summary_update": "s"}', "TARGET": "```go\nfunc TestA() {}\n```"}
+    e = Engine(spark, Config(root=str(root), store=str(tmp_path / "store")), HashingProvider(replies=replies), page)
+
+    def run(*argv, lines=()):
+        out, left = io.StringIO(), iter(lines)
+        cli.run(e, list(argv), out, lambda: next(left, ""))
+        return out.getvalue()
+
+    assert "chunks in" in run("index")
+    assert "LoadConfig" in run("search", "what", "does", "LoadConfig", "do", "--k", "1", "--mmr")
+    assert run("query", "what does LoadConfig do", "--v", "--mode", "deep")
+    out = tmp_path / "t" / "a_test.go"
+    assert "TestA" in run("test", "a.go", "--fn", "LoadConfig", "--out", str(out)) and out.read_text() == "func TestA() {}\n"
+    for verb in ("summarize", "explain", "fix", "refactor"):
+        assert "TestA" in run(verb, "a.go", "--rng", "3-6")
+    assert "TestA" in run("edit", "a.go", "make", "it", "shorter") and "TestA" in run("comment", "a.go", "--fn", "LoadConfig")
+    assert run("ask", "go channels?", "--web", "50") and run("ask", "why")
+    assert run("chat", lines=["hello\n", "\n", "exit\n", "more\n"]).count("\n") == 2
+    assert "items)" in run("flush") and run("flush").strip() == "No memory updates"
+    for bad in (["edit", "a.go"], ["fix"], ["nothing"], []):
+        with pytest.raises(SystemExit):
+            cli.run(e, bad)
+    with pytest.raises(ValueError):
+        run("fix", "a.go", "--rng", "3")
