@@ -302,7 +302,7 @@ def test_toxicity_edges(spark):
     assert row.predicted == 1 and text[row.worst_start : row.worst_end].strip() == "Then abc: came"
     # a word counts as often as it occurs, and scores of sentences are combined by noisy-or
     one, two = (1 / (1 + math.exp(-z)) for z in (-6 + 3, -6 + 3 + 3))
-    model = toxicity.Model(-6.0, {"foo*": 3.0})
+    model = toxicity.Model(-6.0, {"food": 3.0, "fool*": 3.0})
     assert model.sentence_scores("Then,food,came. Foolish food") == pytest.approx([one, two])
     assert model.score("Then,food,came. Foolish food") == pytest.approx(1 - (1 - one) * (1 - two))
     assert model.score("") == model.score(" ,, . \n") == 0
