@@ -58,4 +58,16 @@ m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
 q AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {POLICIES["v1"].mask}) <> 0 AS base_failed, (failed & {POLICIES["v3"].mask}) = 0 AS kept, failed FROM q"""
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2, "op3_decontamination": OP3, "op6_url_filter": OP6, "op7_quality_rules": OP7}
+OP13 = """
+WITH e AS (SELECT sale_id, min(shipped_at) AS s FROM sale_lines WHERE shipped_at IS NOT NULL GROUP BY sale_id),
+c AS (SELECT client_id, min(nation_id) AS g FROM clients GROUP BY client_id),
+x AS (SELECT coalesce(c.g, -1) AS g, epoch(date_trunc('minute', sold_at))::BIGINT AS a, epoch(date_trunc('minute', e.s))::BIGINT + 604800 AS b, coalesce(floor(100 * total + 0.5)::BIGINT, 0) AS v
+  FROM sales LEFT JOIN e USING (sale_id) LEFT JOIN c USING (client_id) WHERE sold_at IS NOT NULL),
+y AS (SELECT * FROM x WHERE b IS NULL OR b > a),
+z AS (SELECT * FROM y UNION ALL SELECT -2, a, b, v FROM y),
+m AS (SELECT g, a AS t, 1 AS n, v FROM z UNION ALL SELECT g, b, -1, -v FROM z WHERE b IS NOT NULL),
+d AS (SELECT g, t, sum(n) AS n, sum(v) AS v FROM m GROUP BY g, t HAVING sum(n) <> 0 OR sum(v) <> 0),
+r AS (SELECT g, t, lead(t) OVER w AS u, (sum(n) OVER w)::BIGINT AS n_open, (sum(v) OVER w)::BIGINT AS open_cents FROM d WINDOW w AS (PARTITION BY g ORDER BY t))
+SELECT g::INTEGER AS nation_id, t AS from_s, u AS to_s, n_open, open_cents, max(n_open) OVER (PARTITION BY g ORDER BY t) AS high_open, open_cents = max(open_cents) OVER (PARTITION BY g) AS is_peak FROM r"""
+
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2, "op3_decontamination": OP3, "op6_url_filter": OP6, "op7_quality_rules": OP7, "op13_peak_concurrency": OP13}
