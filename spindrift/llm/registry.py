@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, concurrency, decontam, line_dedup, pii, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
+from spindrift.llm import bpe, concurrency, decontam, line_dedup, periodic, pii, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
 from spindrift.llm.common import read
 from spindrift.llm.sql import ORACLES
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.stuttered(read(spark, sf_dir, "documents")))
+
+
 def op13_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, lines, clients = (read(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients"))
     return concurrency.sales_concurrency(sales, lines, clients, total=-2).withColumnsRenamed({"g": "nation_id", "open_sum": "open_cents"})
@@ -60,7 +64,7 @@ QUERIES = {
     for f in (
         op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_simhash, op5_line_dedup,
         op6_url_filter, op7_quality_rules, op8_toxicity, op9_byte_bpe, op10_pii,
-        op13_peak_concurrency,
+        op12_periodic_runs, op13_peak_concurrency,
     )
 }
 
