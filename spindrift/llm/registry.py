@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, concurrency, decontam, line_dedup, periodic, pii, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
+from spindrift.llm import bpe, concurrency, decontam, line_dedup, lm, periodic, pii, quality, secrets, simhash, suffix_dedup, toxicity, url_filter
 from spindrift.llm.common import read
 from spindrift.llm.sql import ORACLES
 
@@ -50,6 +51,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return lm.score_documents(read(spark, sf_dir, "documents"), held_out=remainder == 2, tune=remainder == 5)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.stuttered(read(spark, sf_dir, "documents")))
 
@@ -64,7 +70,7 @@ QUERIES = {
     for f in (
         op1_secret_scan, op2_suffix_dedup, op3_decontamination, op4_simhash, op5_line_dedup,
         op6_url_filter, op7_quality_rules, op8_toxicity, op9_byte_bpe, op10_pii,
-        op12_periodic_runs, op13_peak_concurrency,
+        op11_lm_score, op12_periodic_runs, op13_peak_concurrency,
     )
 }
 
