@@ -3,7 +3,7 @@
 Texts become blocks of about a million tokens. A block asks for the counts of its own distinct
 n-grams, each once: keys are dealt by ranges of their hash, counted there over all blocks, and a
 block is told only those counts that differ from what it has itself. An n-gram of three or more
-words is asked for only if the counts of the two shorter ones in it leave more than one answer.
+words is asked for only if both shorter ones in it occur more than once, be it in texts held out.
 So what is shuffled follows the distinct n-grams of blocks, no key is more frequent in it than
 there are blocks, and neither texts nor counts ever meet in one place.
 
@@ -41,10 +41,10 @@ CLASSES = 32  # powers of two of a context's count
 
 BLOCK = pa.schema([("block", pa.int64()), ("n_train", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("role", pa.binary()), ("len", pa.binary()), ("word", pa.binary()), ("hash", pa.binary())])
 BLOCK_DDL = "block long, n_train long, n_docs long, n_tokens long, doc_id array<long>, role binary, len binary, word binary, hash binary"
-ASK = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ASK_DDL = "range int, block long, level int, keys binary, counts binary"
-TOLD = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int32()), ("at", pa.binary()), ("total", pa.binary()), ("words", pa.int64())])
-TOLD_DDL = "block long, level int, range int, at binary, total binary, words long"
+ASK = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("others", pa.binary())])
+ASK_DDL = "range int, block long, level int, keys binary, counts binary, others binary"
+TOLD = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int32()), ("at", pa.binary()), ("total", pa.binary()), ("other", pa.binary()), ("words", pa.int64())])
+TOLD_DDL = "block long, level int, range int, at binary, total binary, other binary, words long"
 FEATURES_DDL = "class binary, likely binary"
 SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -107,16 +107,18 @@ def blocks_of(docs: DataFrame, role: Column) -> DataFrame:
 
 
 class Counts:
-    """A block's n-grams of one level: distinct keys in order, how often the block's training texts have each, and which one ends at each token (-1: not asked for)."""
+    """A block's n-grams of one level: distinct keys in order, how often they occur in training texts (count) and in others
+    (other), and which one ends at each token (-1: not asked for)."""
 
-    def __init__(self, keys: np.ndarray, weight: np.ndarray, asked: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, train: np.ndarray, asked: np.ndarray | None = None):
         at = np.arange(len(keys)) if asked is None else np.flatnonzero(asked)
         order = at[np.argsort(keys[at])]
         found = keys[order]
         new = np.r_[True, found[1:] != found[:-1]][: len(found)]
         first = np.flatnonzero(new)
         self.keys = found[first]
-        self.count = np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
+        self.count = np.add.reduceat(train[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        self.other = np.diff(np.r_[first, len(found)]) - self.count
         self.of = np.full(len(keys), -1, np.int64)
         self.of[order] = np.cumsum(new) - 1
 
@@ -136,9 +138,9 @@ class Block:
         self.starts[self.begin] = True
         self.told = {}
         if told is not None:
-            for level, r, at, total in zip(*(told[k].to_pylist() for k in ("level", "range", "at", "total")), strict=True):
-                self.told.setdefault(level, []).append((r, _numbers(at, np.uint32), _numbers(total, np.int64)))
-        self._raw, self.total = [self.hash[self.word]], {}
+            for level, r, at, total, other in zip(*(told[k].to_pylist() for k in ("level", "range", "at", "total", "other")), strict=True):
+                self.told.setdefault(level, []).append((r, _numbers(at, np.uint32), _numbers(total, np.int64), _numbers(other, np.int64)))
+        self._raw, self.total, self.everywhere = [self.hash[self.word]], {}, {}
 
     def _key(self, n: int) -> np.ndarray:
         """Hashes of the n-grams that end at each token, with n in the last three bits; before a text stands the start, n - 1 times."""
@@ -152,34 +154,36 @@ class Block:
         """How often the n - 1 words before each token occur in training."""
         return np.where(self.starts, n_docs, np.r_[0, self.total[n - 1][:-1]])
 
-    def level(self, n: int, n_docs: int) -> Counts:
-        """The n-grams to ask for. From three words on, those for which both shorter ones occur in training, twice for a
-        training text's own: the others occur once, if they are a training text's own, or never."""
+    def level(self, n: int) -> Counts:
+        """The n-grams to ask for: from three words on, those whose two shorter ones both occur more than once. Any other occurs once, here."""
         if n < 3:
-            return Counts(self._key(n), self.train.astype(np.int64))
-        return Counts(self._key(n), self.train.astype(np.int64), np.minimum(self.before(n, n_docs), self.total[n - 1]) >= 1 + self.train)
+            return Counts(self._key(n), self.train)
+        often = self.everywhere[n - 1] > 1
+        return Counts(self._key(n), self.train, often & (self.starts | np.r_[False, often[:-1]]))
 
     def ranges(self, keys: np.ndarray) -> np.ndarray:
         """Where each range of keys begins, and the end."""
         edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
         return np.r_[np.searchsorted(keys, edges), len(keys)]
 
-    def ask(self, n: int, n_docs: int) -> list[tuple]:
-        c = self.level(n, n_docs)
+    def ask(self, n: int) -> list[tuple]:
+        c = self.level(n)
         cut = self.ranges(c.keys)
         out = []
         for r in np.flatnonzero(np.diff(cut)).tolist():
-            k = c.keys[cut[r] : cut[r + 1]]
-            out.append((r, self.number, n, _planes(np.diff(k, prepend=np.uint64(0))), _planes(c.count[cut[r] : cut[r + 1]].astype(np.uint32))))
+            here = slice(cut[r], cut[r + 1])
+            out.append((r, self.number, n, _planes(np.diff(c.keys[here], prepend=np.uint64(0))), *(_planes(x[here].astype(np.uint32)) for x in (c.count, c.other))))
         return out
 
-    def learn(self, n: int, n_docs: int) -> None:
-        """total[n]: how often the n-gram that ends at each token occurs in training, from what the block was told."""
-        c = self.level(n, n_docs)
-        totals, cut = c.count.copy(), self.ranges(c.keys)
-        for r, at, total in self.told.get(n, ()):
-            totals[cut[r] + at] = total
-        self.total[n] = np.where(c.of >= 0, np.r_[totals, 0][c.of], self.train)
+    def learn(self, n: int) -> None:
+        """How often the n-gram that ends at each token occurs in training (total) and at all (everywhere), from what the block was told."""
+        c = self.level(n)
+        total, other, cut = c.count.copy(), c.other.copy(), self.ranges(c.keys)
+        for r, at, *new in self.told.get(n, ()):
+            total[cut[r] + at], other[cut[r] + at] = new
+        asked = c.of >= 0
+        self.total[n] = np.where(asked, np.r_[total, 0][c.of], self.train)
+        self.everywhere[n] = np.where(asked, np.r_[total + other, 0][c.of], 1)
 
     def likely(self, order: int, n_train: int, n_docs: int, tuned: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, class of weights, maximum-likelihood estimates of all orders) of all tokens; tuned: of tokens of
@@ -190,7 +194,7 @@ class Block:
             have = self.total[n][at]
             seen = self.before(n, n_docs)[at] if n > 1 else np.full(len(at), n_train)
             if tuned:
-                own = Counts(_mixed(self._key(n)[at], self.doc[at].astype(np.uint64)), np.ones(len(at), np.int64))
+                own = Counts(_mixed(self._key(n)[at], self.doc[at].astype(np.uint64)), np.ones(len(at), bool))
                 times = own.count[own.of] if len(at) else have
                 have = have - times
                 inside = self.len[self.doc[at]] if n == 1 else np.where(self.starts[at], 1, np.r_[0, last[:-1]] if len(at) else at)
@@ -216,20 +220,21 @@ def _answers(questions: DataFrame) -> DataFrame:
         keys = [np.cumsum(_numbers(x.as_buffer(), np.uint64), dtype=np.uint64) for x in rows["keys"]]
         cut = np.cumsum([0, *map(len, keys)])
         keys = np.concatenate(keys)
-        own = np.concatenate([_numbers(x.as_buffer(), np.uint32) for x in rows["counts"]]).astype(np.int64)
+        own = [np.concatenate([_numbers(x.as_buffer(), np.uint32) for x in rows[k]]).astype(np.int64) for k in ("counts", "others")]
         order = np.argsort(keys, kind="stable")
         found = keys[order]
         new = np.r_[True, found[1:] != found[:-1]]
         first = np.flatnonzero(new)
-        sums = np.add.reduceat(own[order], first)
-        total = np.empty(len(keys), np.int64)
-        total[order] = sums[np.cumsum(new) - 1]
-        words = int(((found[first] & np.uint64(7) == 1) & (sums > 0)).sum())
-        out = [(None, None, r, None, None, words)]
+        sums = [np.add.reduceat(x[order], first) for x in own]
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        total, other = (x[of] for x in sums)
+        words = int(((found[first] & np.uint64(7) == 1) & (sums[0] > 0)).sum())
+        out = [(None, None, r, None, None, None, words)]
         for (block, level), a, b in zip(who, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            at = np.flatnonzero(total[a:b] != own[a:b])
+            at = np.flatnonzero((total[a:b] != own[0][a:b]) | (other[a:b] != own[1][a:b]))
             if len(at):
-                out.append((block, level, r, _planes(at.astype(np.uint32)), _planes(total[a:b][at]), None))
+                out.append((block, level, r, _planes(at.astype(np.uint32)), *(_planes(x[a:b][at]) for x in (total, other)), None))
         return _rows(TOLD, out)
 
     return questions.groupBy("range").applyInArrow(answer, TOLD_DDL)
@@ -297,7 +302,7 @@ class Model:
 
     def _with_told(self, use, schema: str) -> DataFrame:
         """use(block) -> arrow table, for each block with the totals of the levels known so far."""
-        order, bits, n_docs = self.order, self.bits, self.n_docs
+        order, bits = self.order, self.bits
         known = sum((n_levels for n_levels, _ in zip([min(2, order), *[1] * (order - 2)], self.tables, strict=False)), 0)
 
         def run(row: pa.Table, told: pa.Table | None = None) -> pa.Table:
@@ -305,7 +310,7 @@ class Model:
                 return use(None)
             b = Block(row, told, order, bits)
             for n in range(1, known + 1):
-                b.learn(n, n_docs)
+                b.learn(n)
             return use(b)
 
         blocks = self.blocks.groupBy("block")
@@ -317,8 +322,7 @@ class Model:
         return blocks.cogroup(told.where("block IS NOT NULL").groupBy("block")).applyInArrow(lambda row, told: run(row, told), schema)
 
     def _questions(self, levels: tuple[int, ...]) -> DataFrame:
-        n_docs = self.n_docs
-        return self._with_told(lambda b: _rows(ASK, [x for n in levels for x in b.ask(n, n_docs)] if b else []), ASK_DDL)
+        return self._with_told(lambda b: _rows(ASK, [x for n in levels for x in b.ask(n)] if b else []), ASK_DDL)
 
     def _features(self) -> DataFrame:
         """Of each block's tokens that weights are fitted to: classes and estimates."""
