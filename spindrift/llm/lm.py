@@ -72,24 +72,29 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def blocks_of(docs: DataFrame, role: Column) -> DataFrame:
     """Rows of BLOCK: texts as numbers of words, with the words' hashes. Null text counts as empty. A text of more than
-    BLOCK_TOKENS is a block by itself."""
+    BLOCK_TOKENS ends its block. Texts that weights are fitted to have blocks of their own, with odd numbers."""
     known_columns = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), role.alias("role"))
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        task, number = TaskContext.get().partitionId() << 32, 0
-        ids, roles, lens, words, known = [], [], [], [], {END: 0}
+        task, number = TaskContext.get().partitionId() << 32, [0, 1]
+        held: list[tuple] = [([], [], [], [], {END: 0}) for _ in number]
 
-        def block() -> pa.RecordBatch:
+        def block(aside: bool) -> pa.RecordBatch:
+            ids, roles, lens, words, known = held[aside]
             who, size = np.array(roles, np.uint8), np.array(lens, np.uint32)
             learnt = who != HELD_OUT
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
-            return _rows(BLOCK, [(task + number, int(size[learnt].sum()), int(learnt.sum()), int(size.sum()), ids, who.tobytes(), _planes(size), _planes(np.array(words, np.uint32)), hashes.tobytes())]).to_batches()[0]
+            row = (task + number[aside], int(size[learnt].sum()), int(learnt.sum()), int(size.sum()), ids, who.tobytes(), _planes(size), _planes(np.array(words, np.uint32)), hashes.tobytes())
+            held[aside] = ([], [], [], [], {END: 0})
+            number[aside] += 2
+            return _rows(BLOCK, [row]).to_batches()[0]
 
         for b in batches:
             for doc_id, text, r in zip(b["doc_id"].to_pylist(), b["text"], b["role"].to_pylist(), strict=True):
+                ids, roles, lens, words, known = held[r == TUNE]
                 tokens = text.as_buffer().to_pybytes().lower().split()
                 words += [known.setdefault(w, len(known)) for w in tokens]
                 words.append(0)
@@ -97,11 +102,10 @@ def blocks_of(docs: DataFrame, role: Column) -> DataFrame:
                 roles.append(r)
                 lens.append(len(tokens) + 1)
                 if len(words) >= BLOCK_TOKENS:
-                    yield block()
-                    ids, roles, lens, words, known = [], [], [], [], {END: 0}
-                    number += 1
-        if ids:
-            yield block()
+                    yield block(r == TUNE)
+        for aside in (False, True):
+            if held[aside][0]:
+                yield block(aside)
 
     return known_columns.mapInArrow(run, BLOCK_DDL)
 
@@ -139,7 +143,7 @@ class Block:
         self.told = {}
         if told is not None:
             for level, r, at, total, other in zip(*(told[k].to_pylist() for k in ("level", "range", "at", "total", "other")), strict=True):
-                self.told.setdefault(level, []).append((r, _numbers(at, np.uint32), _numbers(total, np.int64), _numbers(other, np.int64)))
+                self.told.setdefault(level, []).append((r, np.cumsum(_numbers(at, np.uint32), dtype=np.int64), _numbers(total, np.int64), _numbers(other, np.int64)))
         self._raw, self.total, self.everywhere = [self.hash[self.word]], {}, {}
 
     def _key(self, n: int) -> np.ndarray:
@@ -185,29 +189,23 @@ class Block:
         self.total[n] = np.where(asked, np.r_[total, 0][c.of], self.train)
         self.everywhere[n] = np.where(asked, np.r_[total + other, 0][c.of], 1)
 
-    def likely(self, order: int, n_train: int, n_docs: int, tuned: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, class of weights, maximum-likelihood estimates of all orders) of all tokens; tuned: of tokens of
-        documents set aside, with each document's own n-grams deleted from the counts."""
-        at = np.flatnonzero((self.role == TUNE)[self.doc]) if tuned else np.arange(len(self.word))
-        total, context = [], []
+    def likely(self, order: int, n_train: int, n_docs: int, tuned: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(class of weights, maximum-likelihood estimates of all orders) of all tokens; tuned: with each document's own n-grams
+        deleted from the counts."""
+        f, of, last = np.zeros((order, len(self.word))), np.zeros(len(self.word), np.int64), None
         for n in range(1, order + 1):
-            have = self.total[n][at]
-            seen = self.before(n, n_docs)[at] if n > 1 else np.full(len(at), n_train)
+            have = self.total[n]
+            seen = self.before(n, n_docs) if n > 1 else np.full(len(have), n_train)
             if tuned:
-                own = Counts(_mixed(self._key(n)[at], self.doc[at].astype(np.uint64)), np.ones(len(at), bool))
-                times = own.count[own.of] if len(at) else have
+                own = Counts(_mixed(self._key(n), self.doc.astype(np.uint64)), np.ones(len(have), bool))
+                times = own.count[own.of]
                 have = have - times
-                inside = self.len[self.doc[at]] if n == 1 else np.where(self.starts[at], 1, np.r_[0, last[:-1]] if len(at) else at)
-                seen, last = seen - inside, times
-            total.append(have)
-            context.append(seen)
-        f = np.zeros((order, len(at)))
-        of = np.zeros(len(at), np.int64)
-        for n, (c, s) in enumerate(zip(total, context, strict=True)):
-            np.divide(c, s, out=f[n], where=s > 0)
-            if n:
-                of = np.where(s > 0, n * CLASSES + np.minimum(np.frexp(s)[1], CLASSES - 1), of)
-        return at, of, f
+                seen = seen - (self.len[self.doc] if n == 1 else np.where(self.starts, 1, np.r_[0, last[:-1]]))
+                last = times
+            np.divide(have, seen, out=f[n - 1], where=seen > 0)
+            if n > 1:
+                of = np.where(seen > 0, (n - 1) * CLASSES + np.minimum(np.frexp(seen)[1], CLASSES - 1), of)
+        return of, f
 
 
 def _answers(questions: DataFrame) -> DataFrame:
@@ -234,7 +232,7 @@ def _answers(questions: DataFrame) -> DataFrame:
         for (block, level), a, b in zip(who, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             at = np.flatnonzero((total[a:b] != own[0][a:b]) | (other[a:b] != own[1][a:b]))
             if len(at):
-                out.append((block, level, r, _planes(at.astype(np.uint32)), *(_planes(x[a:b][at]) for x in (total, other)), None))
+                out.append((block, level, r, _planes(np.diff(at, prepend=0).astype(np.uint32)), *(_planes(x[a:b][at]) for x in (total, other)), None))
         return _rows(TOLD, out)
 
     return questions.groupBy("range").applyInArrow(answer, TOLD_DDL)
@@ -300,8 +298,8 @@ class Model:
         self.tables.append(save(self._features()))
         self.weights = weights_by_em(self.tables[-1], order, self.uniform)
 
-    def _with_told(self, use, schema: str) -> DataFrame:
-        """use(block) -> arrow table, for each block with the totals of the levels known so far."""
+    def _with_told(self, use, schema: str, which: str = "true") -> DataFrame:
+        """use(block) -> arrow table, for each block with the totals of the levels known so far. which: a condition on their numbers."""
         order, bits = self.order, self.bits
         known = sum((n_levels for n_levels, _ in zip([min(2, order), *[1] * (order - 2)], self.tables, strict=False)), 0)
 
@@ -313,13 +311,13 @@ class Model:
                 b.learn(n)
             return use(b)
 
-        blocks = self.blocks.groupBy("block")
+        blocks = self.blocks.where(which).groupBy("block")
         if not known:
             return blocks.applyInArrow(lambda row: run(row), schema)
         told = self.tables[0]
         for t in self.tables[1 : known - min(2, order) + 1]:
             told = told.union(t)
-        return blocks.cogroup(told.where("block IS NOT NULL").groupBy("block")).applyInArrow(lambda row, told: run(row, told), schema)
+        return blocks.cogroup(told.where(f"block IS NOT NULL AND {which}").groupBy("block")).applyInArrow(lambda row, told: run(row, told), schema)
 
     def _questions(self, levels: tuple[int, ...]) -> DataFrame:
         return self._with_told(lambda b: _rows(ASK, [x for n in levels for x in b.ask(n)] if b else []), ASK_DDL)
@@ -330,10 +328,12 @@ class Model:
         order, n_train, n_docs = self.order, self.n_train, self.n_docs
 
         def use(b: Block | None) -> pa.Table:
-            of, f = b.likely(order, n_train, n_docs, True)[1:] if b else ((), None)
-            return _rows(schema, [(of.astype(np.uint8).tobytes(), f.astype(np.float32).tobytes())] if len(of) else [])
+            if b is None:
+                return schema.empty_table()
+            of, f = b.likely(order, n_train, n_docs, True)
+            return _rows(schema, [(of.astype(np.uint8).tobytes(), f.astype(np.float32).tobytes())])
 
-        return self._with_told(use, FEATURES_DDL)
+        return self._with_told(use, FEATURES_DDL, "block % 2 = 1")
 
     def scores(self) -> DataFrame:
         """Rows of SCORE_DDL, for each document that the model was made of, held out or not. base_score: words alone, each counted once more."""
@@ -343,7 +343,7 @@ class Model:
         def use(b: Block | None) -> pa.Table:
             if b is None:
                 return schema.empty_table()
-            _, of, f = b.likely(order, n_train, n_docs, False)
+            of, f = b.likely(order, n_train, n_docs, False)
             p = weights[of, 0] * uniform
             for k in range(order):
                 p += weights[of, k + 1] * f[k]
