@@ -76,20 +76,27 @@ def overlap_similarity(weights: dict[str, float]):
 
 def select_top(chunks: DataFrame, query: str, most: int, key: str = "doc_id") -> DataFrame:
     """BM25, normalised, then the 4 * most best, of which MMR picks most for variety by token overlap.
-    Result: key, text, score, rank."""
-    schema = f"{key} {dict(chunks.dtypes)[key]}, text string, score double, rank int"
-    spark = chunks.sparkSession
-    if most < 1:
-        return spark.createDataFrame([], schema)
+    Result: key, text, score, rank. For chunks that are asked once; postings.select_top() is the same over a stored index."""
     chunks = chunks.select(key, "text")
+    if most < 1:
+        return picked(chunks, [], {}, most)
     best = top_k(min_max(bm25_scores(chunks, query, key)), OVERSAMPLE * most, key)
-    got = [r.asDict() for r in best.join(chunks, key).orderBy(F.desc("score"), key).collect()]  # 4 * most rows
-    words = sorted({w for r in got for w in r["text"].split()})
-    # raw words are looked up among cleaned terms
+    got = [r.asDict() for r in best.join(chunks, key).select(key, "text", "score").orderBy(F.desc("score"), key).collect()]  # 4 * most rows
+    words = words_of(got)
     weights = {r.term: r.idf for r in idf(chunks, words).collect()} if words else {}
-    sim = overlap_similarity(weights)
-    picks = mmr(got, most, LAMBDA, lambda c, p: sim(c, p))
-    return spark.createDataFrame([(p[key], p["text"], p["score"], i + 1) for i, p in enumerate(picks)], schema)
+    return picked(chunks, got, weights, most)
+
+
+def words_of(rows: list[dict]) -> list[str]:
+    """The raw words of some texts, each once: these are looked up among cleaned terms."""
+    return sorted({w for r in rows for w in r["text"].split()})
+
+
+def picked(chunks: DataFrame, rows: list[dict], weights: dict[str, float], most: int) -> DataFrame:
+    """The rows (key, text, score) that MMR picks, with rank; chunks gives the types of key and text."""
+    picks = mmr(rows, most, LAMBDA, overlap_similarity(weights))
+    schema = ", ".join(f"{c} {t}" for c, t in chunks.dtypes) + ", score double, rank int"
+    return chunks.sparkSession.createDataFrame([(*(p[c] for c in chunks.columns), p["score"], i) for i, p in enumerate(picks, 1)], schema)
 
 
 def raw_words(c):

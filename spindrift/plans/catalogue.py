@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import chunking, html
 from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
-from spindrift.operators import bm25, hybrid, store, summary, topk
+from spindrift.operators import hybrid, postings, store, summary, topk
 from spindrift.session import ship
 from spindrift.sources import ignore, web
 from spindrift.streaming import memory
@@ -90,6 +90,11 @@ def mmr_embeddings(spark, sf_dir):
     return spark.createDataFrame(rows, "rank int, vec_id long, score double")
 
 
+def document_index(spark, sf_dir):
+    """Built by the first query that asks, opened by the others."""
+    return postings.index_of(table(spark, sf_dir, "documents"), lambda d: d.select("doc_id", "text"), "doc_id", "documents")
+
+
 _TOK = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
 
 
@@ -102,7 +107,7 @@ def tokenize(spark, sf_dir):
 @query(f"""WITH t AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, n""")
 def bm25_idf(spark, sf_dir):
-    return bm25.idf(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return document_index(spark, sf_dir).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _BM25 = f"""d AS (SELECT doc_id, text, {_TOK} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
@@ -114,7 +119,7 @@ s AS (SELECT doc_id, sum(CASE WHEN df > 0 THEN qtf * ln(1 + (n - df + 0.5) / (df
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM s")
 def bm25_scores(spark, sf_dir):
-    return bm25.bm25_scores(table(spark, sf_dir, "documents"), BM25_QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    return document_index(spark, sf_dir).scores(BM25_QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _NORM = "z AS (SELECT doc_id, CASE WHEN mx > mn THEN (score - mn) / (mx - mn) ELSE score END AS score FROM s, (SELECT min(score) AS mn, max(score) AS mx FROM s))"
@@ -122,13 +127,12 @@ _NORM = "z AS (SELECT doc_id, CASE WHEN mx > mn THEN (score - mn) / (mx - mn) EL
 
 @query(f"WITH {_BM25}, {_NORM} SELECT doc_id, round(score, 6) AS score FROM z ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
 def bm25_normalized_topk(spark, sf_dir):
-    s = bm25.min_max(bm25.bm25_scores(table(spark, sf_dir, "documents"), BM25_QUERY)).withColumn("score", F.round("score", 9))
-    return topk.top_k(s, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return document_index(spark, sf_dir).normalized_top(BM25_QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def mmr_bm25_overlap(spark, sf_dir):
-    return bm25.select_top(table(spark, sf_dir, "documents"), BM25_QUERY, 5).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return postings.select_top(document_index(spark, sf_dir), BM25_QUERY, 5).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _HEX = "lower(hex(encode(text)))"
@@ -238,7 +242,8 @@ def web_chunks(spark, sf_dir):
 
 @query()
 def web_select_top(spark, sf_dir):
-    return web.answer_context(table(spark, sf_dir, "pages"), BM25_QUERY, 5).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    index = postings.index_of(table(spark, sf_dir, "pages"), web.keyed_chunks, "chunk_id", "pages")
+    return postings.select_top(index, BM25_QUERY, 5).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 IGNORE_RULES = ["*.html", "es/", "!100.html", "de/1*", "fr/10"]

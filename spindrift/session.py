@@ -21,6 +21,19 @@ def get_session(app: str = "spindrift", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where the session has none, a temporary
+    folder on one machine (tests) and an error on a cluster."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spindrift-shared-")
+        sc.setCheckpointDir(found)
+    return found
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that Python workers can
     import it wherever it is installed on the driver."""

@@ -98,7 +98,12 @@ def page_chunks(pages: DataFrame, cap: int = WEB_CAP, least: int = WEB_MIN) -> D
     return c.where(F.octet_length("text") >= least).select("page_id", "j", "url", "text")
 
 
+def keyed_chunks(pages: DataFrame) -> DataFrame:
+    """(chunk_id, text) of the pages' chunks."""
+    parts = (F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lpad(F.col("j").cast("string"), 6, "0"))
+    return page_chunks(pages).select(F.concat_ws(":", *parts).alias("chunk_id"), "text")
+
+
 def answer_context(pages: DataFrame, query: str, most: int) -> DataFrame:
-    """The most chunks of the pages that suit the query best, for variety's sake not too alike."""
-    chunks = page_chunks(pages).select(F.concat_ws(":", F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lpad(F.col("j").cast("string"), 6, "0")).alias("chunk_id"), "text")
-    return select_top(chunks, query, most, "chunk_id")
+    """The most chunks of a few fetched pages that suit the query best, for variety's sake not too alike."""
+    return select_top(keyed_chunks(pages), query, most, "chunk_id")
