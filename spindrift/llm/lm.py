@@ -54,13 +54,16 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as all their first bytes, all their second ones, and so on: small ones compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Numbers as all their first bytes, all their second ones and so on, compressed: the high ones of small numbers vanish."""
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + (pa.compress(flat, "zstd", asbytes=True) if flat else b"")
 
 
 def _numbers(b: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    view = memoryview(b)
+    n = int.from_bytes(view[:8], "little")
+    flat = pa.decompress(view[8:], n, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,27 +284,34 @@ class Model:
         """Texts with held_out are learnt nothing from; of the others, those with tune also fit the weights. Null counts as false."""
         spark = docs.sparkSession
         role = F.when(held_out, HELD_OUT).when(tune, TUNE).otherwise(TRAIN).cast("int")
-        self.order, self.name = order, f"spindrift_{uuid.uuid4().hex}"
-        # bucketed by block: the joins below then move only the answers
-        self.path = f"{ensure_checkpoint_dir(spark)}/{self.name}"
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks_of(docs, role).write.format("parquet").option("path", self.path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(self.name)
-        self.blocks = spark.read.table(self.name)
+        self.order, self.spark, self.n_buckets = order, spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.blocks = self._bucketed(blocks_of(docs, role))
         sums = self.blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_docs", "n_tokens"))).first()
         self.n_train, self.n_docs = sums[0], sums[1]
         self.bits = max(LEAST_RANGES.bit_length() - 1, (sums[2] // RANGE_TOKENS).bit_length())
-        self.tables: list[DataFrame] = []
+        self.told, self.known = None, 0
         for levels in [tuple(range(1, min(2, order) + 1)), *((n,) for n in range(3, order + 1))]:
-            self.tables.append(save(_answers(self._questions(levels))))
-        self.n_words = self.tables[0].agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+            # dealt by block once, not by every reader; one table for all levels, since a union would be dealt anew
+            self.told = self._bucketed(_answers(self._questions(levels)).repartition(self.n_buckets, "block"), self.told)
+            self.known = max(levels)
+        self.n_words = self.told.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
         self.uniform = 1 / (self.n_words + 1)
-        self.tables.append(save(self._features()))
-        self.weights = weights_by_em(self.tables[-1], order, self.uniform)
+        features = save(self._features())
+        self.weights = weights_by_em(features, order, self.uniform)
+        drop(features)
+
+    def _bucketed(self, df: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """df written as a table bucketed by block, or added to one: joins of two such tables by block move nothing."""
+        name = more._name if more is not None else f"spindrift_{uuid.uuid4().hex}"
+        path = f"{ensure_checkpoint_dir(self.spark)}/{name}"
+        df.write.mode("append").format("parquet").option("path", path).option("compression", "zstd").bucketBy(self.n_buckets, "block").saveAsTable(name)
+        table = self.spark.read.table(name)
+        table._saved_at, table._name = path, name
+        return table
 
     def _with_told(self, use, schema: str, which: str = "true") -> DataFrame:
         """use(block) -> arrow table, for each block with the totals of the levels known so far. which: a condition on their numbers."""
-        order, bits = self.order, self.bits
-        known = sum((n_levels for n_levels, _ in zip([min(2, order), *[1] * (order - 2)], self.tables, strict=False)), 0)
+        order, bits, known = self.order, self.bits, self.known
 
         def run(row: pa.Table, told: pa.Table | None = None) -> pa.Table:
             if not row.num_rows:
@@ -314,10 +324,7 @@ class Model:
         blocks = self.blocks.where(which).groupBy("block")
         if not known:
             return blocks.applyInArrow(lambda row: run(row), schema)
-        told = self.tables[0]
-        for t in self.tables[1 : known - min(2, order) + 1]:
-            told = told.union(t)
-        return blocks.cogroup(told.where(f"block IS NOT NULL AND {which}").groupBy("block")).applyInArrow(lambda row, told: run(row, told), schema)
+        return blocks.cogroup(self.told.where(f"block IS NOT NULL AND {which}").groupBy("block")).applyInArrow(lambda row, told: run(row, told), schema)
 
     def _questions(self, levels: tuple[int, ...]) -> DataFrame:
         return self._with_told(lambda b: _rows(ASK, [x for n in levels for x in b.ask(n)] if b else []), ASK_DDL)
@@ -354,10 +361,9 @@ class Model:
 
     def drop(self) -> None:
         """Delete the tables; scores() can't be read any more."""
-        drop(*self.tables)
-        self.blocks.sparkSession.sql(f"DROP TABLE {self.name}")
-        self.blocks._saved_at = self.path
-        drop(self.blocks)
+        for t in (self.blocks, self.told):
+            self.spark.sql(f"DROP TABLE {t._name}")
+            drop(t)
 
 
 def score_documents(docs: DataFrame, held_out: Column, tune: Column, order: int = ORDER) -> DataFrame:
