@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from spindrift.functions import chunking, html
 from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
 from spindrift.operators import hybrid, postings, store, summary, topk
-from spindrift.session import ship
+from spindrift.session import shared_folder, ship
 from spindrift.sources import ignore, web
 from spindrift.streaming import memory
 
@@ -271,20 +272,47 @@ def summary_symbols(spark, sf_dir):
     return summary.distinct_symbols(text_signals(spark, sf_dir))
 
 
-def _extractions(spark, sf_dir):
-    """A stand-in for model replies: the first words of each turn are its topics, user turns update the summary."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).otherwise(" ").alias("summary_update"), F.slice(F.split("text", " ", -1), 1, 5).alias("topics_add"))
+def _extractions(turns):
+    """A stand-in for model replies: the words of each turn are its topics, the long ones preferences; user turns update the summary."""
+    words = F.split("text", " ", -1)
+    return turns.select(
+        "conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).otherwise(" ").alias("summary_update"),
+        words.alias("topics_add"), F.filter(words, lambda w: F.length(w) > 7).alias("preferences_add"),
+    )
+
+
+def _folded(column: str, words: str, limit: int) -> str:
+    """What a turn adds to a list: its words in order of first mention, unless the list has them; one at least, where the list is full."""
+    new = f"list_filter(list_transform({words}, lambda w: lower(regexp_replace(w, '^\\s+|\\s+$', '', 'g'))), lambda w: w <> '')"
+    first = f"list_filter({new}, lambda w, i: list_position({new}, w) = i AND NOT list_contains(m.{column}, w))"
+    return f"list_concat(m.{column}, list_slice({first}, 1, greatest(1, {limit} - len(m.{column}))))"
+
+
+_MEMORY = rf"""WITH RECURSIVE t AS (SELECT conv_id, role, text, string_split(text, ' ') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+m AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, '' AS summary, []::VARCHAR[] AS topics, []::VARCHAR[] AS preferences FROM t
+  UNION ALL SELECT t.conv_id, t.n, CASE WHEN t.role = 'user' AND trim(t.text) <> '' THEN regexp_replace(t.text, '^\s+|\s+$', '', 'g') ELSE m.summary END,
+  {_folded("topics", "t.w", 20)}, {_folded("preferences", "list_filter(t.w, lambda w: length(w) > 7)", 10)} FROM m JOIN t ON t.conv_id = m.conv_id AND t.n = m.n + 1)
+SELECT conv_id, arg_max(summary, n) AS project_summary, array_to_string(arg_max(topics, n), '|') AS topics, array_to_string(arg_max(preferences, n), '|') AS preferences FROM m GROUP BY conv_id"""
+
+
+def _memory_columns(states):
+    return states.select("conv_id", "project_summary", F.array_join("topics", "|").alias("topics"), F.array_join("preferences", "|").alias("preferences"))
 
 
-@query("""WITH x AS (SELECT conv_id, turn, role, text, unnest(list_slice(string_split(text, ' '), 1, 5)) AS w, unnest(range(0, least(5, len(string_split(text, ' '))))) AS p FROM conversations),
-f AS (SELECT conv_id, lower(trim(w)) AS t, min(turn * 1000 + p) AS pos FROM x WHERE trim(w) <> '' GROUP BY ALL),
-r AS (SELECT conv_id, array_to_string(list_slice(list(t ORDER BY pos), 1, 20), '|') AS topics FROM f GROUP BY conv_id),
-s AS (SELECT conv_id, regexp_replace(arg_max(text, turn) FILTER (role = 'user' AND trim(text) <> ''), '^\\s+|\\s+$', '', 'g') AS project_summary FROM conversations GROUP BY conv_id)
-SELECT s.conv_id, coalesce(project_summary, '') AS project_summary, coalesce(topics, '') AS topics FROM s LEFT JOIN r ON s.conv_id = r.conv_id""")
+@query(_MEMORY)
 def memory_fold(spark, sf_dir):
-    out = memory.fold_frames(_extractions(spark, sf_dir), "conv_id", order="turn")
-    return out.select("conv_id", "project_summary", F.array_join("topics", "|").alias("topics"))
+    return _memory_columns(memory.fold_frames(_extractions(table(spark, sf_dir, "conversations")), "conv_id", order="turn"))
+
+
+@query(_MEMORY)
+def memory_fold_stream(spark, sf_dir):
+    """The same as a stream with keyed state, started twice on one checkpoint: the second start finds nothing new."""
+    folder = f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "conversations").schema
+    for _ in range(2):
+        turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque?")  # a file or a folder of them
+        memory.start_fold(_extractions(turns), "conv_id", order="turn", folder=f"{folder}/states", checkpoint=f"{folder}/checkpoint")
+    return _memory_columns(memory.latest_states(spark, f"{folder}/states", "conv_id"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations c WHERE NOT (role = 'assistant' AND turn % 4 = 1)")

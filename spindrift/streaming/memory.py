@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.query import StreamingQuery
 
 from spindrift import schemas
-from spindrift.functions.text import trim
+from spindrift.session import ship
 
 TOPICS, PREFERENCES = 20, 10
 EMPTY = {"project_summary": "", "topics": [], "preferences": []}
@@ -100,15 +105,119 @@ def stream_flush(queue_folder: str, store, extract: Callable[[dict, dict], str],
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: What folds read, besides keys and order, and the state that they make.
+READ = ("summary_update", "topics_add", "preferences_add")
+STATE = "project_summary string, topics array<string>, preferences array<string>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _prepared(extractions: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """keys, order and READ; a column that is missing is null."""
+    cast = {"summary_update": "string", "topics_add": "array<string>", "preferences_add": "array<string>"}
+    have = set(extractions.columns)
+    return extractions.select(*keys, order, *((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in cast.items()))
+
+
+def _without_nulls(extraction: dict) -> dict:
+    return {k: [x for x in v if x is not None] if isinstance(v, list) else v for k, v in extraction.items()}
+
+
 def fold_frames(extractions: DataFrame, *keys: str, order: str) -> DataFrame:
-    """The fold as an aggregation, for many projects at once: keys..., project_summary, topics.
-    extractions: keys, order, summary_update, topics_add. Topics: in order of first mention, up to the limit."""
-    rows = extractions.select(*keys, order, F.nullif(trim(F.col("summary_update")), F.lit("")).alias("s"), F.posexplode_outer("topics_add").alias("p", "t"))
-    rows = rows.withColumn("t", F.nullif(F.lower(trim(F.col("t"))), F.lit("")))
-    firsts = rows.where("t is not null").groupBy(*keys, "t").agg(F.min(F.struct(order, "p")).alias("at"))
-    topics = firsts.groupBy(*keys).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), 1, TOPICS).alias("topics"))
-    last = rows.groupBy(*keys).agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col(order))).alias("project_summary"))
-    return last.join(topics, list(keys), "left").select(*keys, F.coalesce("project_summary", F.lit("")).alias("project_summary"), F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+    """The fold of many projects at once, a row for each: keys and STATE.
+
+    extractions: keys, order and those of READ that there are. Each project's rows are merged one after another, by order (ties by
+    what they hold), exactly as merge() does. Rows are dealt by key, sorted where they are and read as a
+    stream: a task holds the state of one project, however many rows that has. Null keys are a project too.
+    """
+    ship(extractions.sparkSession)
+    rows = _prepared(extractions, keys, order)
+    n, out = len(keys), T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(STATE).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, now, state, done = to_arrow_schema(out), None, EMPTY, []
+
+        def finished() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:n] != now:
+                    if now is not None:
+                        done.append((*now, *state.values()))
+                    now, state = row[:n], EMPTY
+                state = merge(state, _without_nulls(dict(zip(READ, row[n + 1 :], strict=True))))
+            if len(done) >= 1_000:
+                yield finished()
+                done = []
+        if now is not None:
+            done.append((*now, *state.values()))
+        if done:
+            yield finished()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order, *READ).mapInArrow(run, out)
+
+
+class MemoryFold(StatefulProcessor):
+    """merge() as state of a stream: what one project has, in a value that Spark keeps and restores."""
+
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("memory", STATE)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        old = self.state.get() if self.state.exists() else None
+        memory = {"project_summary": old[0], "topics": list(old[1]), "preferences": list(old[2])} if old else EMPTY
+        told = [x for r in rows for x in r[[self.order, *READ]].itertuples(index=False, name=None)]
+        as_list = lambda v: [] if v is None else [x for x in v if x is not None]
+        clean = [(o, s if isinstance(s, str) else None, as_list(t), as_list(p)) for o, s, t, p in told]
+        for _, s, t, p in sorted(clean, key=lambda x: (x[0], x[1] is not None, x[1] or "", x[2], x[3])):
+            memory = merge(memory, {"summary_update": s, "topics_add": t, "preferences_add": p})
+        self.state.update(tuple(memory.values()))
+        yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, **{k: [v] for k, v in memory.items()}})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_fold(extractions: DataFrame, *keys: str, order: str) -> DataFrame:
+    """fold_frames() of a stream: after each batch the new state of every project that had rows in it. Within a batch rows are merged
+    by order; those that come in a later batch are merged later, as a queue would be. The session's state store must be ROCKSDB."""
+    ship(extractions.sparkSession)
+    rows = _prepared(extractions, keys, order)
+    fold = MemoryFold(order)
+    fold.keys = keys
+    out = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(STATE).fields])
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=fold, outputStructType=out, outputMode="Update", timeMode="None")
+
+
+def start_fold(extractions: DataFrame, *keys: str, order: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Fold what there is of a stream and stop. Each batch's states are a folder of their own, named by the batch: one that is run
+    again after a crash replaces what it wrote. Another start on the same checkpoint goes on where this one ended."""
+
+    def write(states: DataFrame, batch: int) -> None:
+        states.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    spark = extractions.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)  # a query keeps the setting that it starts with
+    try:
+        query = stream_fold(extractions, *keys, order=order).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def latest_states(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """The last state of every project that start_fold() wrote: keys and STATE."""
+    rows = spark.read.parquet(folder)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct("project_summary", "topics", "preferences"), "batch").alias("s"))
+    return last.select(*keys, "s.*")
 
 
 def chat_history(turns: DataFrame) -> DataFrame:
