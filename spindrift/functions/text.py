@@ -61,17 +61,22 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+#: What is said of a block that can't be read.
+MALFORMED, UNTERMINATED = "malformed fenced code block", "unterminated fenced code block"
+
+
 def code_block(c: Column) -> Column:
-    """struct(content, language, error) of the first fenced block; without a fence the text itself."""
-    a = F.instr(c, "```")
-    after = F.when(a > 0, F.substr(c, a + 3))
-    line = F.instr(after, "\n")
-    body = F.substr(after, line + 1)
-    z = F.instr(body, "```")
-    error = F.when(a == 0, None).when(line == 0, "invalid code block").when(z == 0, "unterminated code block")
+    """struct(content, language, error) of the first fenced block, as it stands, line ends included; without a fence the text itself."""
+    fence = F.instr(c, "```")
+    rest = F.substr(c, fence + 3)
+    line = F.instr(rest, "\n")
+    body = F.substr(rest, line + 1)
+    end = F.instr(body, "```")
+    error = F.when(fence == 0, None).when(line == 0, MALFORMED).when(end == 0, UNTERMINATED)
+    good = (fence > 0) & error.isNull()
     return F.struct(
-        F.when(a == 0, c).when(error.isNull(), trim(F.substr(body, F.lit(1), z - 1))).otherwise("").alias("content"),
-        F.when((a > 0) & error.isNull(), trim(F.substr(after, F.lit(1), line - 1))).otherwise("").alias("language"),
+        F.when(fence == 0, c).when(good, F.substr(body, F.lit(1), end - 1)).otherwise("").alias("content"),
+        F.when(good, trim(F.substr(rest, F.lit(1), line - 1))).otherwise("").alias("language"),
         error.alias("error"),
     )
 

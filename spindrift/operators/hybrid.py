@@ -16,21 +16,25 @@ _PY_IDENTIFIER = re.compile(tx.IDENTIFIER)
 
 
 def find_by_symbols(items: DataFrame, symbols: list[str], limit: int, prompt: str | None = None) -> DataFrame:
-    """lookup_symbols() for the identifiers of one prompt (without it, the symbols themselves)."""
+    """lookup_symbols() for the identifiers of one prompt (without it, the symbols themselves), in the order of the identifiers,
+    and for each by score."""
     if limit < 1 or not symbols:
         return items.limit(0).withColumn("ident", F.lit(0)).withColumn("score", F.lit(0.0))
     prompt = " ".join(symbols) if prompt is None else prompt
     asked = items.sparkSession.createDataFrame([(i, s, prompt) for i, s in enumerate(symbols)], "ident int, symbol string, prompt string")
-    return lookup_symbols(items, F.broadcast(asked), limit)  # the identifiers of one prompt
+    found = lookup_symbols(items, F.broadcast(asked), limit)  # the identifiers of one prompt
+    return found.orderBy("ident", "place").drop("place")
 
 
 def lookup_symbols(items: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """Items of each symbol asked for (ident, symbol, prompt), which may be qualified: at most limit for each in the order
-    of the table, with ident and score."""
+    """Items of each symbol asked for (ident, symbol, prompt), which may be qualified: the first limit of each in the order
+    of the table, with ident, score and their place by score (ties in the order of the table)."""
     asked = asked.select("ident", tx.normalize_symbol(F.col("symbol")).alias("symbol"), "prompt")
     w = Window.partitionBy("ident").orderBy("file_path", "start_line")
     found = items.join(asked, "symbol").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
-    return found.withColumn("score", score_symbol(F.col("prompt"))).select(*items.columns, "ident", "score")
+    best = Window.partitionBy("ident").orderBy(F.desc("score"), "file_path", "start_line")
+    ranked = found.withColumn("score", score_symbol(F.col("prompt"))).withColumn("place", F.row_number().over(best))
+    return ranked.select(*items.columns, "ident", "score", "place")
 
 
 def score_symbol(prompt):

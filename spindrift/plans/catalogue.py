@@ -13,7 +13,7 @@ from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
 from spindrift.operators import hybrid, postings, store, summary, topk
 from spindrift.session import shared_folder, ship
-from spindrift.sources import ignore, web
+from spindrift.sources import files, ignore, web
 from spindrift.streaming import memory
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,12 +199,13 @@ def _symbol_items(spark, sf_dir):
 
 
 @query(f"""WITH {_SYMBOLS}, asked AS (SELECT DISTINCT symbol FROM items WHERE symbol <> '' AND doc_id % 20 = 0), f AS (SELECT i.*, row_number() OVER (PARTITION BY symbol ORDER BY file_path) AS n FROM items i JOIN asked USING (symbol))
-SELECT doc_id, symbol, round(2.0 - 0.001 * (end_line - 1), 6)::DOUBLE AS score FROM f WHERE n <= 3""")
+SELECT doc_id, symbol, round(2.0 - 0.001 * (end_line - 1), 6)::DOUBLE AS score, row_number() OVER (PARTITION BY symbol ORDER BY end_line, file_path) AS place FROM f WHERE n <= 3""")
 def symbol_lookup(spark, sf_dir):
     """Each symbol of the documents whose id is divisible by 20, asked for by itself."""
     items = _symbol_items(spark, sf_dir)
     asked = items.where("symbol <> '' and doc_id % 20 = 0").select("symbol").distinct()
-    return hybrid.lookup_symbols(items, asked.select(F.col("symbol").alias("ident"), "symbol", F.col("symbol").alias("prompt")), 3).select("doc_id", "symbol", F.round(F.col("score").cast("double"), 6).alias("score"))
+    found = hybrid.lookup_symbols(items, asked.select(F.col("symbol").alias("ident"), "symbol", F.col("symbol").alias("prompt")), 3)
+    return found.select("doc_id", "symbol", F.round(F.col("score").cast("double"), 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {_SYMBOLS}, one AS (SELECT min(symbol) AS symbol FROM items WHERE symbol <> ''),
@@ -261,6 +262,26 @@ def ignore_filter(spark, sf_dir):
     return p.withColumn("ignored", ignore.ignored(F.col("path"), F.lit(False), rules))
 
 
+TREE_RULES = "*.tmp\n# a comment\n\nskip\n!skip/keep1*.go\ndocs/old/\n"
+_TREE = """CASE doc_id % 10 WHEN 0 THEN 'src/' || lang || '/doc' || doc_id || '.go' WHEN 1 THEN 'src/' || lang || '/deep/er/doc' || doc_id || '.PY' WHEN 2 THEN 'src/node_modules/' || lang || '/doc' || doc_id || '.js'
+WHEN 3 THEN '.hidden/' || lang || '/_doc' || doc_id || '.md' WHEN 4 THEN 'docs/doc' || doc_id || '.txt' WHEN 5 THEN 'pkg/doc' || doc_id || '.min.js' WHEN 6 THEN 'pkg/' || doc_id || '/Makefile'
+WHEN 7 THEN 'skip/keep' || doc_id || '.go' WHEN 8 THEN 'docs/old/doc' || doc_id || '.md' ELSE 'pkg/odd [' || doc_id || ']*.rs' END"""
+
+
+@query(f"""SELECT path, strlen(text)::BIGINT AS n_bytes, md5(text) AS digest FROM (SELECT {_TREE} AS path, doc_id, coalesce(text, '') AS text FROM documents)
+WHERE doc_id % 10 IN (0, 1, 3, 6, 9) OR doc_id % 10 = 7 AND starts_with(path, 'skip/keep1')""")
+def scan_tree(spark, sf_dir):
+    """The documents as files of a source tree: written, listed by the tree's own rules, and read."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.expr(_TREE).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    files.write_files(docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), root)
+    files.write_files(spark.createDataFrame([(".gitignore", TREE_RULES.encode())], "path string, content binary"), root)
+    found = files.scan(spark, root).select("path", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest")).checkpoint()
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return found
+
+
 @query("SELECT path FROM (SELECT 'doc' || doc_id AS path FROM documents) ORDER BY path LIMIT 20")
 def summary_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"))
@@ -344,13 +365,14 @@ def joined_output(spark, sf_dir):
     return topk.join_chunks(top.withColumn("text", F.concat(F.lit("vec"), F.col("vec_id").cast("string"))), "text", "vec_id")
 
 
-_FENCED = "'Reply:' || chr(10) || '```go' || chr(10) || text || chr(10) || '```' || chr(10) || 'done'"
+_FENCE = "chr(96) || chr(96) || chr(96)"
+_RAW = f"""CASE item_id % 5 WHEN 0 THEN 'Reply:' || chr(10) || {_FENCE} || ' go' || chr(10) || text || chr(10) || {_FENCE} || chr(10) || 'done' WHEN 1 THEN {_FENCE} || 'go' || chr(10) || text
+WHEN 2 THEN text WHEN 3 THEN replace(text, chr(10), ' ') || {_FENCE} || 'py' ELSE {_FENCE} || chr(10) || ' ' || text || '  ' || {_FENCE} || text || {_FENCE} || 'c' || chr(10) || {_FENCE} END"""
 
 
-@query("""SELECT item_id, trim(text, ' ' || chr(10)) AS content, CASE WHEN item_id % 3 = 0 THEN 'go' ELSE '' END AS "language", CASE WHEN item_id % 3 = 1 THEN 'unterminated code block' END AS error
-FROM benchmark WHERE item_id % 3 <> 1 UNION ALL SELECT item_id, '', '', 'unterminated code block' FROM benchmark WHERE item_id % 3 = 1""")
+@query(f"""WITH r AS (SELECT item_id, {_RAW} AS raw FROM benchmark), a AS (SELECT item_id, raw, regexp_extract(raw, '^(.*?)' || {_FENCE} || '([^\n]*)\n(.*?)' || {_FENCE}, ['before', 'lang', 'code'], 's') AS m FROM r)
+SELECT item_id, CASE WHEN NOT contains(raw, {_FENCE}) THEN raw ELSE m['code'] END AS content, trim(m['lang']) AS "language",
+CASE WHEN contains(raw, {_FENCE}) AND NOT regexp_matches(raw, {_FENCE} || '.*' || chr(10)) THEN 'malformed fenced code block' WHEN contains(raw, {_FENCE}) AND length(raw) - length(replace(raw, {_FENCE}, '')) < 6 THEN 'unterminated fenced code block' END AS error FROM a""")
 def code_block(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "^[ \n]+|[ \n]+$", ""))
-    closed = F.concat(F.lit("Reply:\n```go\n"), F.col("text"), F.lit("\n```\ndone"))
-    raw = F.when(F.col("item_id") % 3 == 0, closed).when(F.col("item_id") % 3 == 1, F.concat(F.lit("```go\n"), F.col("text"))).otherwise(F.col("text"))
-    return b.withColumn("b", tx.code_block(raw)).select("item_id", "b.content", "b.language", "b.error")
+    b = table(spark, sf_dir, "benchmark").withColumn("raw", F.expr(_RAW.replace("chr(96) || chr(96) || chr(96)", "'```'").replace("chr(10)", "'\\n'")))
+    return b.withColumn("b", tx.code_block(F.col("raw"))).select("item_id", "b.content", "b.language", "b.error")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import os
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import basename, extension
+from spindrift.session import shared_folder, ship
 from spindrift.sources import ignore
 
 MAX_BYTES = 5 * 1024 * 1024
+#: Entries of folders, and bytes of files, that a task hands on at once.
+ENTRIES, CONTENT = 10_000, 32 << 20
 #: Fixed values.
 SPECIAL = ("Dockerfile", "Makefile")
 EXTENSIONS = (".go", ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".rs", ".c", ".cpp", ".h", ".rb", ".cs", ".md", ".yaml", ".yml", ".toml")
@@ -19,66 +23,147 @@ EXTENSIONS = (".go", ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".rs", ".c",
 
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, user_patterns: list[str] | None = None) -> DataFrame:
     """(path, content) of the files that are indexed. The tree is listed first, without going into folders that are
-    ignored; size, name and rules are tested on the list, and only what stays is read."""
-    wanted = [(e if e.startswith(".") else "." + e).lower() for e in (extensions or EXTENSIONS)]
+    ignored; size, name and rules are tested on the list, and only what stays is read. Files that can't be read are left out."""
     rules = ignore.load(spark, root, user_patterns)
-    base, files = listing(spark, root, rules)
-    listed = spark.createDataFrame(files, "path string, length long").where(F.col("length") <= MAX_BYTES)
+    listed = listing(spark, root, rules)
+    return contents(listed.where(is_indexed(extensions) & ~ignore.ignored(F.col("path"), F.lit(False), rules)), root)
+
+
+def is_indexed(extensions: list[str] | None = None) -> Column:
+    """Whether a listed file is small enough and of a wanted kind."""
+    wanted = [(e if e.startswith(".") else "." + e).lower() for e in (extensions or EXTENSIONS)]
     name = basename(F.col("path")).isin(*SPECIAL) | F.lower(extension(F.col("path"))).isin(*wanted)
-    paths = [r.path for r in listed.where(name & ~ignore.ignored(F.col("path"), F.lit(False), rules)).select("path").collect()]  # names, as listed
-    hidden = [p for p in paths if any(x[0] in "._" for x in p.split("/"))]
-    plain = sorted(set(paths) - set(hidden))
-    out = _read_hidden(spark, base, hidden)
-    if plain:
-        read = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-        rel = F.expr(f"substring(regexp_replace(path, '^file:/+', 'file:/'), {len(base) + 2})")
-        out = out.unionByName(read.load([_literal(f"{base}/{p}") for p in plain]).select(rel.alias("path"), "content"))
-    return out
-
-
-def listing(spark: SparkSession, root: str, rules: list[ignore.Rule]) -> tuple[str, list[tuple[str, int]]]:
-    """The root as a full path, and (path below it, length) of every file that isn't in an ignored folder, level by level."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, files, level = fs.makeQualified(top).toString(), [], [""]
-    while level:
-        folders = []
-        for at in level:
-            for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{at}") if at else top):
-                path = f"{at}/{s.getPath().getName()}" if at else s.getPath().getName()
-                if s.isDirectory():
-                    folders.append((path,))
-                else:
-                    files.append((path, s.getLen()))
-        named = spark.createDataFrame(folders, "path string")
-        level = [r.path for r in named.where(~ignore.ignored(F.col("path"), F.lit(True), rules)).collect()] if folders else []
-    return base, files
-
-
-def _literal(path: str) -> str:
-    """path as a glob that stands for itself."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
-
-
-def _read_hidden(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
-    """(path, content) of files that Spark's readers pass over, by their name or a folder's; files that can't be read are left out."""
-
-    def run(batches):
-        from pyarrow import fs
-
-        local = base.startswith("file:")
-        system, top = (fs.LocalFileSystem(), "/" + base[5:].lstrip("/")) if local else fs.FileSystem.from_uri(base)
+    return (F.col("length") <= MAX_BYTES) & name
+
+
+def listing(spark: SparkSession, root: str, rules: list[ignore.Rule]) -> DataFrame:
+    """(path below the root, length) of every file that isn't in an ignored folder.
+
+    The tree is expanded level by level: the folders of a level are a DataFrame, pruned by the rules, and listed by as many tasks
+    as there are; each level is checkpointed, so that none is listed twice, and the driver only learns
+    whether there is another. Folders that can't be listed are passed over; links to folders aren't followed.
+    """
+    ship(spark)
+    shared_folder(spark)
+    base = _qualified(spark, root)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = []
-            for p in b.column(0).to_pylist():
+            for folder in b.column(0).to_pylist():
+                held = []
+                for entry in _entries(base, folder):
+                    held.append(entry)
+                    if len(held) >= ENTRIES:
+                        yield _batch(held, "path", "is_dir", "length")
+                        held = []
+                if held:
+                    yield _batch(held, "path", "is_dir", "length")
+
+    level, out = spark.createDataFrame([("",)], "path string"), spark.createDataFrame([], "path string, length long")
+    while True:
+        found = level.mapInArrow(entries, "path string, is_dir boolean, length long").checkpoint()
+        out = out.union(found.where("NOT is_dir").select("path", "length"))
+        level = found.where("is_dir").where(~ignore.ignored(F.col("path"), F.lit(True), rules)).select("path")
+        if level.isEmpty():
+            return out
+        level = level.repartition(n)
+
+
+def contents(listed: DataFrame, root: str) -> DataFrame:
+    """(path, content) of listed files, read where the list is: hidden ones too, which Spark's readers pass over."""
+    ship(listed.sparkSession)
+    base = _qualified(listed.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
                 try:
-                    with system.open_input_stream(f"{top}/{p}") as f:
-                        kept.append((p, f.read()))
+                    content = _read(base, path)
                 except OSError:
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.binary())], names=["path", "content"])
+                held.append((path, content))
+                size += len(content)
+                if size >= CONTENT:
+                    yield _batch(held, "path", "content")
+                    held, size = [], 0
+        if held:
+            yield _batch(held, "path", "content")
+
+    n = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("path").repartition(n).mapInArrow(run, "path string, content binary")
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, content binary")
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write files (path below the root, content) from where the rows are, with the folders they need; returns how many. One that a
+    lost task is asked for again is written again."""
+    ship(files.sparkSession)
+    base = _qualified(files.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _write(base, path, content or b"")
+                done.append((path,))
+            if done:
+                yield _batch(done, "path")
+
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(run, "path string").count()
+
+
+_TYPES = {"path": pa.string(), "is_dir": pa.bool_(), "length": pa.int64(), "content": pa.binary()}
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, k in zip(zip(*rows, strict=True), names, strict=True)], names=list(names))
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+
+
+def _entries(base: str, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(path, whether it is a folder, length) of what is in a folder below base."""
+    at = f"{folder}/" if folder else ""
+    try:
+        if base.startswith("file:"):
+            with os.scandir(f"/{base[5:].lstrip('/')}/{folder}") as found:
+                for e in found:
+                    try:
+                        yield at + e.name, e.is_dir(follow_symlinks=False), e.stat(follow_symlinks=False).st_size
+                    except OSError:
+                        continue
+        else:
+            from pyarrow import fs
+
+            system, top = fs.FileSystem.from_uri(f"{base}/{folder}")
+            for e in system.get_file_info(fs.FileSelector(top)):
+                yield at + e.base_name, e.type == fs.FileType.Directory, e.size or 0
+    except OSError:
+        return
+
+
+def _read(base: str, path: str) -> bytes:
+    if base.startswith("file:"):
+        with open(f"/{base[5:].lstrip('/')}/{path}", "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, top = fs.FileSystem.from_uri(base)
+    with system.open_input_stream(f"{top}/{path}") as f:
+        return f.read()
+
+
+def _write(base: str, path: str, content: bytes) -> None:
+    from pyarrow import fs
+
+    system, top = (fs.LocalFileSystem(), "/" + base[5:].lstrip("/")) if base.startswith("file:") else fs.FileSystem.from_uri(base)
+    system.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+    with system.open_output_stream(f"{top}/{path}") as f:
+        f.write(content)
 
 
 def read_file(spark: SparkSession, path: str) -> str:

@@ -67,9 +67,12 @@ def load(spark: SparkSession, root: str, user: list[str] | None = None) -> list[
     lines = [*DEFAULTS, *(user or [])]
     for name in (".gitignore", ".aiignore"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            text = spark.read.option("wholetext", True).text(path.toString()).first()
-            lines += [x.strip() for x in (text.value if text else "").split("\n") if x.strip() and not x.strip().startswith("#")]
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):  # Spark's readers pass over names that begin with a point
+            stream = fs.open(path)
+            text = bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode(errors="replace")
+            stream.close()
+            lines += [x.strip() for x in text.split("\n") if x.strip() and not x.strip().startswith("#")]
     return parse(lines)
 
 

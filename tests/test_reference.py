@@ -100,7 +100,8 @@ def test_ignore(spark):
 def test_code_block_and_lines(spark):
     raw = ["plain", "a\n```go\nx := 1\n```\nb\n```\ny\n```", "```\nz\n```", "```go\nopen", "```"]
     got = [(r["content"], r["language"], r["error"]) for r in column(spark, raw, tx.code_block)]
-    assert got[:3] == [("plain", "", None), ("x := 1", "go", None), ("z", "", None)] and got[3][2] and got[4][2]
+    assert got[:3] == [("plain", "", None), ("x := 1\n", "go", None), ("z\n", "", None)]
+    assert [g[2] for g in got[3:]] == ["unterminated fenced code block", "malformed fenced code block"]
     assert column(spark, ["a\nb\nc\nd"], lambda c: tx.replace_lines(c, 2, 3, "X")) == ["a\nX\nd"]
     assert column(spark, ["a\nb\nc\nd"], lambda c: tx.line_range(c, 2, 3)) == ["b\nc"]
     assert column(spark, ["//x.org/l/?uddg=https%3A%2F%2Fa.b%2Fc&r=1", "https://a.b", "//c.d"], tx.clean_url) == ["https://a.b/c", "https://a.b", "https://c.d"]
@@ -173,8 +174,8 @@ def test_scan(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t)
     assert {r.path: bytes(r.content).decode() for r in files.scan(spark, str(tmp_path)).collect()} == text
-    listed = files.listing(spark, str(tmp_path), ignore.parse(list(ignore.DEFAULTS)))[1]
-    assert {p for p, _ in listed} == {*text, "sub/z.bin", "big.py"}
+    listed = files.listing(spark, str(tmp_path), ignore.parse(list(ignore.DEFAULTS)))
+    assert {r.path for r in listed.collect()} == {*text, "sub/z.bin", "big.py"}
     (tmp_path / "none").mkdir()
     assert files.scan(spark, str(tmp_path / "none")).collect() == []
 
@@ -198,6 +199,8 @@ def test_stream(spark, tmp_path):
 def test_symbols_and_summary(spark):
     items = spark.createDataFrame([("a", "F", 1, 11), ("b", "F", 1, 1), ("c", "G", 1, 1)], "file_path string, symbol string, start_line int, end_line int")
     got = [(r.file_path, round(r.score, 3)) for r in hybrid.find_by_symbols(items, ["F"], 5).orderBy("file_path").collect()]
+    assert [r.file_path for r in hybrid.find_by_symbols(items, ["G", "F"], 5).collect()] == ["c", "b", "a"]  # by identifier, then by score
+    assert [r.file_path for r in hybrid.find_by_symbols(items, ["F"], 1).collect()] == ["a"]  # the first of the table, not the best
     assert got == [("a", 1.99), ("b", 2.0)] and hybrid.find_by_symbols(items, ["F"], 0).count() == 0
     whole = {s: [round(r.score, 3) for r in hybrid.find_by_symbols(items, ["x.F"], 5, s).orderBy("file_path").collect()] for s in ("F", "what does F do", "x.F")}
     assert whole == {"F": [1.99, 2.0], "what does F do": [0.99, 1.0], "x.F": [0.99, 1.0]}
