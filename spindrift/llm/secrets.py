@@ -14,6 +14,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -221,17 +222,28 @@ def train(findings: tuple[np.ndarray, np.ndarray] | None = None) -> Forest:
 
 
 def candidates(text: str, without: str = "") -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, of all kinds but one; where two kinds overlap, the first in PATTERNS stays."""
+    """(kind, start, end) in code points, of all kinds but one, in order; where two kinds overlap, the first in PATTERNS stays."""
     found: list[tuple[str, int, int]] = []
     for kind, pattern in _COMPILED.items():
         hints = _HINTS[kind]
         if kind == without or hints and not any(h in text for h in hints):
             continue
-        for m in pattern.finditer(text):
-            a, z = m.span("v")
-            if not any(a < y and x < z for _, x, y in found):
-                found.append((kind, a, z))
-    return sorted(found, key=lambda c: c[1:])
+        apart = _Apart(found)
+        new = [(kind, a, z) for a, z in (m.span("v") for m in pattern.finditer(text)) if apart.clear(a, z)]
+        found = sorted(found + new, key=lambda c: c[1:])
+    return found
+
+
+class _Apart:
+    """Spans in order that don't overlap, looked up by halving."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends = [a for _, a, _ in spans], [z for *_, z in spans]
+
+    def clear(self, a: int, z: int) -> bool:
+        """Whether none of them overlaps a to z: the last that starts before z would."""
+        i = bisect_left(self.starts, z)
+        return not i or self.ends[i - 1] <= a
 
 
 SCHEMA = "doc_id long, kind string, start int, end int, value string, score double, secret boolean"
@@ -240,7 +252,8 @@ SCHEMA = "doc_id long, kind string, start int, end int, value string, score doub
 def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, kind, start, end (code points), value, score, secret.
 
-    Null and empty texts have no candidates. Repeated rows repeat their candidates.
+    Null and empty texts have no candidates. Repeated rows repeat their candidates; null doc_ids stay null. Columns other than
+    doc_id and text are not read. A text's candidates are found in time linear in its length, but for their sorting.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())
 
@@ -263,9 +276,8 @@ def _scored(rows, forest, threshold):
         # what stands between PEM lines that are no key can be a secret of another kind
         apart = [c for c, s in zip(found, scores, strict=True) if c[0] == "private_key" and s < threshold]
         if apart:
-            taken = [c for c in found if c not in apart]
-            clear = lambda c, others: not any(c[1] < z and a < c[2] for _, a, z in others)
-            inner = [c for c in candidates(text, "private_key") if not clear(c, apart) and clear(c, taken)]
+            within, taken = _Apart(apart), _Apart([c for c, s in zip(found, scores, strict=True) if c[0] != "private_key" or s >= threshold])
+            inner = [c for c in candidates(text, "private_key") if not within.clear(*c[1:]) and taken.clear(*c[1:])]
             both = sorted(zip([*found, *inner], [*scores, *judge(text, inner)], strict=True), key=lambda x: x[0][1:])
             found, scores = [c for c, _ in both], [s for _, s in both]
         yield doc_id, text, found, scores
@@ -273,7 +285,8 @@ def _scored(rows, forest, threshold):
 
 def secret_report(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, n_candidates, n_secrets, spans (kind:start:end of the secrets,
-    comma-joined), redacted_sha256 (of the text with each secret replaced by its kind in brackets)."""
+    comma-joined), redacted_sha256 (of the text with each secret replaced by its kind in brackets). Null
+    texts count as empty; null doc_ids stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())
 
     def run(rows):
