@@ -139,7 +139,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, blocked_l
     ):
         cascades[name] = build_cascade(cut(frame.select("key").distinct()), _keys(spark, listed))
     if any(c is None for c in cascades.values()):
-        raise ValueError("lists this long are looked up by listed_urls()")
+        return _joined(urls, rules, blocked_labels)
     found = F.filter(lookup_keys(F.col("host"), F.col("path")), lambda k: cascades["allow"].contains(k) | cascades["block"].contains(k))
     rule = F.expr("aggregate(found, cast(null as string), (a, k) -> if(a is null or length(k) > length(a), k, a))")
     by_label = F.exists(F.split("host", r"\."), lambda k: cascades["label"].contains(k))
@@ -150,6 +150,19 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, blocked_l
     )
 
 
+def _joined(urls: DataFrame, rules: dict[str, str], blocked_labels: tuple) -> DataFrame:
+    """filter_urls() where the lists are too long for filters: what they hold is found by joins, and the longest of each row stays."""
+    spark = urls.sparkSession
+    urls = cut(urls.withColumn("row", F.monotonically_increasing_id()))
+    ruled = spark.createDataFrame(list(rules.items()), "key string, says string")
+    keys = urls.select("row", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("key"))
+    best = keys.join(ruled, "key").groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "says")).alias("best"))
+    labels = urls.select("row", F.explode(F.array_distinct(F.split("host", r"\."))).alias("key"))
+    bad = labels.join(_keys(spark, list(blocked_labels)), "key").select("row").distinct().withColumn("bad", F.lit(True))
+    verdict = F.coalesce(F.col("best.says"), F.when(F.col("bad"), "block").otherwise("allow"))
+    return urls.join(best, "row", "left").join(bad, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
+
+
 def listed_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id and listed (boolean) of every row with a page_id: whether any host suffix with any path
     prefix is a key of listed (column key), which may have any size."""
