@@ -78,6 +78,14 @@ def release(spark: SparkSession) -> None:
         sc._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any spelling."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def doc_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, text as UTF-8 bytes, null as empty): all that most operators read."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))

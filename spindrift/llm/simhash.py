@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import cut, doc_bytes, map_rows
+from spindrift.llm.common import cut, doc_bytes, map_rows, unused
 from spindrift.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -248,24 +248,26 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component of docs: that of the smallest doc_id, then fingerprint, then text. Rows that
-    share a doc_id are judged each for itself. Rows with a null doc_id stay."""
+    share a doc_id are judged each for itself. Rows with a null doc_id stay. Other columns may have any names."""
     own, grouped = _grouped(docs)
+    stay_, fp_ = unused(docs, "_stay"), unused(docs, "_fp")
     stay = grouped.where("rep is not null").groupBy("grp").agg(F.min(F.struct("rep", "fp")).alias("stay"))
     by_fp = grouped.join(stay, "grp").select("fp", "stay")
     stays = F.when((F.col("doc_id") == F.col("stay.rep")) & (F.col("fp") == F.col("stay.fp")), F.col("fp"))
-    by_doc = own.where("doc_id is not null").join(by_fp, "fp").groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(stays).alias("_stay"))
-    by_doc = cut(by_doc.where("n > 1 or size(_stay) = 0"))
+    by_doc = own.where("doc_id is not null").join(by_fp, "fp").groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(stays).alias("stay"))
+    by_doc = cut(by_doc.where("n > 1 or size(stay) = 0"))
     once = docs.join(by_doc.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     # only rows that repeat a doc_id need their fingerprints again
-    several = docs.join(by_doc.where("size(_stay) > 0").select("doc_id", "_stay"), "doc_id").select(*docs.columns, "_stay")
+    again = by_doc.where("size(stay) > 0").select("doc_id", F.col("stay").alias(stay_))
+    several = docs.join(again, "doc_id").select(*docs.columns, stay_)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(b"" if t is None else t.encode()) for t in b.column(at).to_pylist()]
             fps = pa.array([fp - (1 << 64) if fp >> 63 else fp for fp in fps], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, fp_])
 
-    several = several.mapInArrow(run, several.withColumn("_fp", F.lit(0).cast("long")).schema).where("array_contains(_stay, _fp)")
+    several = several.mapInArrow(run, several.withColumn(fp_, F.lit(0).cast("long")).schema).where(F.array_contains(stay_, F.col(fp_)))
     one = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
-    return once.unionByName(several.groupBy("doc_id", "_fp").agg(one).select("row.*"))
+    return once.unionByName(several.groupBy("doc_id", fp_).agg(one).select("row.*"))
