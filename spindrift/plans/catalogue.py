@@ -13,7 +13,7 @@ from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
 from spindrift.operators import hybrid, postings, store, summary, topk
 from spindrift.session import shared_folder, ship
-from spindrift.sources import files, ignore, web
+from spindrift.sources import files, ignore, web, web_source
 from spindrift.streaming import memory
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,6 +248,15 @@ def web_select_top(spark, sf_dir):
     return postings.select_top(index, BM25_QUERY, 5).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("SELECT url, strlen(html)::BIGINT AS n_bytes, md5(html) AS digest, NULL::VARCHAR AS error FROM pages WHERE url IS NOT NULL")
+def web_pages(spark, sf_dir):
+    """All urls of the table through the source "web", which finds their pages in the same table."""
+    web_source.register(spark)
+    path = f"{sf_dir}/pages.parquet"
+    got = spark.read.format("web").option("table", path).option("archive", path).option("interval", 0).option("jitter", 0).load()
+    return got.select("url", F.octet_length("html").cast("long").alias("n_bytes"), F.md5(F.col("html").cast("binary")).alias("digest"), "error")
+
+
 IGNORE_RULES = ["*.html", "es/", "!100.html", "de/1*", "fr/10"]
 _P = "regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1)"
 

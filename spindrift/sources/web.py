@@ -7,11 +7,12 @@ import random
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import quote_plus
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.chunking import WEB_CAP, WEB_MIN, web_chunks
@@ -67,9 +68,10 @@ def web_pages(spark: SparkSession, query: str, limit: int, get: Callable[[str],
 
 
 def fetch(urls: DataFrame, get: Callable[[str], str], interval: float = INTERVAL, jitter: float = JITTER) -> DataFrame:
-    """(url, html, error) of every url: at most CONCURRENCY tasks, each with its own pace; a url that fails
-    has an error and no html."""
+    """(url, html, error) of every url: at most CONCURRENCY tasks, all urls of a host in one, each with its own pace; a url
+    that fails has an error and no html. For functions that aren't in a module; others go through the source "web"."""
     ship(urls.sparkSession)
+    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,7 +84,7 @@ def fetch(urls: DataFrame, get: Callable[[str], str], interval: float = INTERVAL
                 time.sleep(interval + random.uniform(0, jitter))
             yield pd.DataFrame(out, columns=["url", "html", "error"])
 
-    return urls.select("url").repartition(CONCURRENCY).mapInPandas(run, "url string, html string, error string")
+    return urls.select("url").repartition(CONCURRENCY, host).mapInPandas(run, "url string, html string, error string")
 
 
 def results(rows: DataFrame, limit: int) -> DataFrame:
@@ -90,18 +92,50 @@ def results(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where("url <> ''").select("title", clean_url(F.col("url")).alias("url")).limit(limit)
 
 
-def page_chunks(pages: DataFrame, cap: int = WEB_CAP, least: int = WEB_MIN) -> DataFrame:
-    """(page_id, j, url, text) of the paragraphs' chunks of at least `least` bytes."""
+def page_chunks(pages: DataFrame, cap: int = WEB_CAP, least: int = WEB_MIN, extract: Callable[[Column], Column] = html_text, chunk: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(page_id, j, url, text) of the paragraphs' chunks of at least `least` bytes. extract makes a page's text, chunk an array of
+    its parts (paragraphs up to `cap` bytes, if left out)."""
     ship(pages.sparkSession)
-    t = pages.select("page_id", "url", html_text(F.col("html")).alias("t"))
-    c = t.select("page_id", "url", F.posexplode(web_chunks(F.col("t"), cap)).alias("j", "text"))
+    t = pages.select("page_id", "url", extract(F.col("html")).alias("t"))
+    c = t.select("page_id", "url", F.posexplode(chunk(F.col("t")) if chunk else web_chunks(F.col("t"), cap)).alias("j", "text"))
     return c.where(F.octet_length("text") >= least).select("page_id", "j", "url", "text")
 
 
-def keyed_chunks(pages: DataFrame) -> DataFrame:
-    """(chunk_id, text) of the pages' chunks."""
+@dataclass(frozen=True)
+class Pipeline:
+    """Search, fetch, extract, chunk and choose, each of which can be another.
+
+    search(query, limit) gives (title, url); fetch(urls) gives (url, html, error); extract and chunk are column expressions: a
+    page's text, and the array of its parts.
+    """
+
+    search: Callable[[str, int], DataFrame]
+    fetch: Callable[[DataFrame], DataFrame]
+    limit: int = 5
+    extract: Callable[[Column], Column] = html_text
+    chunk: Callable[[Column], Column] | None = None
+    least: int = WEB_MIN
+
+    def pages(self, query: str) -> DataFrame:
+        """(page_id, url, html) of what a search finds; pages that can't be fetched are left out."""
+        got = self.fetch(self.search(query, self.limit).select("url")).where("error is null")
+        return got.select(F.row_number().over(Window.orderBy("url")).cast("long").alias("page_id"), "url", "html")  # limit rows
+
+    def run(self, query: str) -> DataFrame:
+        """The limit parts that suit the query best: chunk_id, text, score, rank."""
+        if self.limit < 1:
+            raise ValueError("limit must be positive")
+        pages = self.pages(query).persist()  # each page is asked for once
+        try:
+            return select_top(keyed_chunks(pages, extract=self.extract, chunk=self.chunk, least=self.least), query, self.limit, "chunk_id")
+        finally:
+            pages.unpersist()
+
+
+def keyed_chunks(pages: DataFrame, **how) -> DataFrame:
+    """(chunk_id, text) of the pages' chunks; how: as for page_chunks()."""
     parts = (F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lpad(F.col("j").cast("string"), 6, "0"))
-    return page_chunks(pages).select(F.concat_ws(":", *parts).alias("chunk_id"), "text")
+    return page_chunks(pages, **how).select(F.concat_ws(":", *parts).alias("chunk_id"), "text")
 
 
 def answer_context(pages: DataFrame, query: str, most: int) -> DataFrame:
