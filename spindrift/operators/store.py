@@ -37,7 +37,7 @@ class Store:
     """Tables under a folder that Spark can write. A table's folder holds versions; a commit writes the
     new version, then the pointer to it, so a reader sees the old table or the new one."""
 
-    TABLES = {"items": schemas.ITEMS, "meta": schemas.META, "summary": schemas.SUMMARY, "memory": schemas.MEMORY, "queue": schemas.QUEUE, "done": schemas.DONE}
+    TABLES = {"items": schemas.ITEMS, "meta": schemas.META, "summary": schemas.SUMMARY, "memory": schemas.MEMORY, "queue": schemas.QUEUE, "done": schemas.DONE, "segments": schemas.SEGMENTS, "files": schemas.FILES}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import chunking, html
 from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
-from spindrift.operators import hybrid, postings, store, summary, topk
+from spindrift.operators import hybrid, incremental, postings, store, summary, topk
 from spindrift.session import shared_folder, ship
 from spindrift.sources import files, ignore, web, web_source
 from spindrift.streaming import memory
@@ -161,6 +161,22 @@ def chunk_text_formatted(spark, sf_dir):
     return c.select("doc_id", "j", F.md5(F.lower(F.hex(chunk.cast("binary"))).cast("binary")).alias("chunk_md5"))
 
 
+_AFTER = "CASE WHEN doc_id % 5 = 0 THEN text || ' and then it was changed' ELSE text END"
+
+
+@query(_CHUNK.replace("documents)", f"(SELECT doc_id, {_AFTER} AS text FROM documents WHERE doc_id % 7 <> 0))", 1)
+       + f"""SELECT 'doc' || doc_id || '.txt' AS file_path, (1 + {_NL.format("400 * j")})::INT AS start_line, (1 + {_NL.format("least(n, 400 * (j + 1))")})::INT AS end_line FROM k""")
+def incremental_index(spark, sf_dir):
+    """The index of a first state of the documents, brought up to date with a second: a third is new, a fifth changed, a seventh gone."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    states = docs.where("doc_id % 3 <> 0").select("path", F.col("text").alias("content")), docs.where("doc_id % 7 <> 0").select("path", F.expr(_AFTER).alias("content"))
+    kept = store.Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    for state in states:
+        items_of = lambda files: chunking.chunk_files(files).select(F.col("path").alias("file_path"), "symbol", "kind", "start_line", "end_line", F.col("text").alias("content"), F.lit(None).cast("array<double>").alias("embedding"))
+        incremental.refresh(kept, incremental.digests(state), lambda paths, state=state: state.join(paths, "path", "left_semi"), items_of)
+    return incremental.items(kept).select("file_path", "start_line", "end_line")
+
+
 _ID = "\\b([a-zA-Z]+[A-Z][a-zA-Z0-9]*|[a-z][a-z0-9]*_[a-z][a-z0-9_]*)\\b"
 
 

@@ -12,7 +12,7 @@ from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
 from spindrift.functions.chunking import chunk_files
 from spindrift.functions.golang import chunk_go, go_signals
-from spindrift.operators import hybrid
+from spindrift.operators import hybrid, incremental
 from spindrift.operators.store import Store
 from spindrift.operators.summary import build_summary
 from spindrift.operators.topk import join_chunks, search
@@ -21,6 +21,7 @@ from spindrift.plans.provider import Provider, embed_column
 from spindrift.schemas import IndexStatus, Mode
 from spindrift.session import ship
 from spindrift.sources import files as fs
+from spindrift.sources import ignore
 from spindrift.sources.config import Config
 from spindrift.sources.web import answer_context, web_pages
 from spindrift.streaming import memory as mem
@@ -75,6 +76,21 @@ class Engine:
         self.store.save(index_items(files, self.provider), self.config.root, self.config.hash, summary)
         return self.store.items().count()
 
+    def refresh(self, progress: Callable[[int, int], None] | None = None) -> incremental.Refreshed:
+        """Bring the index up to date: only files that are new or changed are chunked and embedded, those that are gone are left out.
+        An index of other settings is built anew. progress hears (files read, files to read)."""
+        config = self.config
+        rules = ignore.load(self.spark, config.root, config.ignore)
+        listed = fs.listing(self.spark, config.root, rules).where(fs.is_indexed(config.extensions) & ~ignore.ignored(F.col("path"), F.lit(False), rules))
+        if self.status() != IndexStatus.OK:
+            self.store.replace("files", self.store.read("files").limit(0))
+        read = lambda paths: fs.contents(paths, config.root)
+        done = incremental.refresh(self.store, incremental.digests(read(listed)), read, lambda files: index_items(files, self.provider), progress)
+        if done.changed or done.removed or self.status() != IndexStatus.OK:
+            files = read(listed)
+            self.store.save(incremental.items(self.store), config.root, config.hash, build_summary(files, file_signals(files)) if done.files else "")
+        return done
+
     def ensure_index(self) -> None:
         if self.status() != IndexStatus.OK:
             self.index()

@@ -3,6 +3,8 @@
 from enum import StrEnum
 
 ITEMS = "file_path string, symbol string, kind string, start_line int, end_line int, content string, embedding array<double>"
+SEGMENTS = ITEMS + ", generation string"
+FILES = "path string, digest string, generation string"
 META = "id int, project_root string, config_hash string, version string, created_at timestamp"
 SUMMARY = "project_root string, content string, updated_at timestamp"
 MEMORY = "id int, project_summary string, topics array<string>, preferences array<string>, updated_at timestamp, folded array<string>"
