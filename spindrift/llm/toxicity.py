@@ -3,13 +3,15 @@
 A document is a bag of sentences; only the document has a label. A sentence's score is a
 logistic function of its words, each as often as it occurs, and the bag's is their noisy-or, 1 - prod(1 - p): one
 offending sentence is enough. The weights are fitted to the documents' labels through
-the noisy-or, and the fitted sentence scores then say where the offence is.
+the noisy-or, and the fitted sentence scores then say where the offence is. What a bag's noisy-or has to
+be for a verdict is learned too, by cross-validation among the labelled texts: scores are shifted so that this is THRESHOLD.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,6 +29,8 @@ MIN_DOCS, MIN_G2 = 4, 16.0
 #: Lengths of stems. A stem is the only sign of words that are too rare each to be learnt.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
+#: Parts that labelled texts are dealt to for cross-validation, and what precision weighs against recall there (F-measure's beta).
+FOLDS, BETA = 4, 0.5
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = ".,;:!?\"'()[]{}<>%#*&$|_-"
 
@@ -49,6 +53,8 @@ def features(word: str) -> tuple[str, ...]:
 class Model:
     bias: float
     weights: dict[str, float]
+    #: What is added to the log-odds of a bag.
+    shift: float = 0.0
     starts: set = field(init=False)
 
     def __post_init__(self):
@@ -74,7 +80,12 @@ class Model:
         return out
 
     def score(self, text: str) -> float:
-        return noisy_or(self.sentence_scores(text))
+        return self.bag_score(self.sentence_scores(text))
+
+    def bag_score(self, p: list[float]) -> float:
+        """Of a bag's sentence scores; 0 for an empty bag."""
+        raw = min(max(noisy_or(p), 1e-12), 1 - 1e-12)
+        return 1 / (1 + (1 - raw) / raw * math.exp(-self.shift)) if p else 0.0
 
 
 def noisy_or(p: list[float]) -> float:
@@ -104,13 +115,47 @@ def fit(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.
     """Full-batch Adam on the log loss of the noisy-or; deterministic. Equal texts count once, as
     toxic if any of them is. Without texts of both labels there is nothing to learn: every
     score is then close to 0."""
+    bags, y = _bags(texts, labels)
+    return _fit(bags, y, epochs, rate, l2)
+
+
+def fit_shifted(texts: list[str], labels: list[int]) -> Model:
+    """fit(), with the shift that puts the noisy-or which tells labels apart best at THRESHOLD. Each of FOLDS parts is scored by what
+    is fitted to the others; the bound with the best F-measure, the highest of equals, is taken. Without both labels in every part it is THRESHOLD itself."""
+    bags, y = _bags(texts, labels)
+    model = _fit(bags, y)
+    part = np.array([zlib.crc32(repr(b).encode()) % FOLDS for b in bags])
+    if any(len(set(y[part == k])) < 2 or len(set(y[part != k])) < 2 for k in range(FOLDS)):
+        return model
+    score = np.zeros(len(bags))
+    for k in range(FOLDS):
+        other = _fit([b for b, p in zip(bags, part, strict=True) if p != k], y[part != k])
+        for i in np.flatnonzero(part == k):
+            score[i] = noisy_or([1 / (1 + math.exp(-max(-30.0, min(30.0, other.bias + sum(other.weights.get(f, 0.0) for f in s))))) for s in bags[i]])
+    order = np.argsort(-score, kind="stable")
+    hit, told = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f = (1 + BETA**2) * hit / (BETA**2 * y.sum() + told)
+    f[:-1][score[order][1:] == score[order][:-1]] = 0  # a bound takes all equals
+    i = int(np.argmax(f))
+    # half-way to the next score, so that neither side stands on the bound
+    bound = (score[order][i] + (score[order][i + 1] if i + 1 < len(y) else 0.0)) / 2
+    logit = lambda p: math.log(p / (1 - p))
+    model.shift = logit(THRESHOLD) - logit(min(max(bound, 1e-9), 1 - 1e-9))
+    return model
+
+
+def _bags(texts: list[str], labels: list[int]) -> tuple[list, np.ndarray]:
+    """The features of each distinct text's sentences, and its label: texts without a word are left out."""
     one: dict[str, int] = {}
     for t, v in zip(texts, labels, strict=True):
         one[t] = max(one.get(t, 0), int(v > 0))
     bags = {t: [[f for w in words(t[a:z]) for f in features(w)] for a, z in sentences(t)] for t in one}
     bags = {t: [s for s in b if s] for t, b in bags.items()}
     y = np.array([one[t] for t, b in bags.items() if b], float)
-    bags = [b for b in bags.values() if b]
+    return [b for b in bags.values() if b], y
+
+
+def _fit(bags: list, y: np.ndarray, epochs: int = 300, rate: float = 0.1, l2: float = 0.05) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(-12.0, {})
     vocab = select(bags, y.astype(int).tolist())
@@ -141,16 +186,16 @@ def held_out():
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on at most max_labelled documents that aren't held out. Repeated labels of a document
-    count once, 1 before 0; null labels and null doc_ids are passed over."""
+    count once, 1 before 0, and of several texts of one doc_id the first in order; null labels and null doc_ids are passed over."""
     one = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     # at most max_labelled rows of two numbers: bounded for a broadcast
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(one), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    return fit_shifted([r.text or "" for r in rows], [r.toxic for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -164,7 +209,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for doc_id, out, text in rows:
             scored = m.scored_sentences(text)
             p = [x for _, _, x in scored]
-            score, worst = noisy_or(p), (None, None)
+            score, worst = m.bag_score(p), (None, None)
             if score >= THRESHOLD:
                 worst = scored[int(np.argmax(p))][:2]
             yield doc_id, out, score, int(score >= THRESHOLD), *worst
