@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as tx
 from spindrift.functions.golang import chunk_go
-from spindrift.session import ship
+from spindrift.session import over_batches, ship
 
 SIZE, MIN_TAIL = 400, 50
 WEB_CAP, WEB_MIN = 3500, 300
@@ -50,7 +50,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
     by function, all else, and Go that doesn't parse, by bytes."""
     ship(files.sparkSession)
     go = tx.extension(F.col("path")) == ".go"
-    parse = F.udf(lambda s: chunk_go(s), "array<struct<start_line:int,end_line:int,symbol:string,kind:string,body:string>>")
+    parse = over_batches(chunk_go, "array<struct<start_line:int,end_line:int,symbol:string,kind:string,body:string>>")
     source = files.select("path", F.col("content").cast("string").alias("content"))
     parsed = source.where(go).withColumn("parts", parse("content"))
     by_func = parsed.where("parts is not null").select("path", F.explode("parts").alias("p")).select(

@@ -22,7 +22,9 @@ def find_by_symbols(items: DataFrame, symbols: list[str], limit: int, prompt: st
         return items.limit(0).withColumn("ident", F.lit(0)).withColumn("score", F.lit(0.0))
     prompt = " ".join(symbols) if prompt is None else prompt
     asked = items.sparkSession.createDataFrame([(i, s, prompt) for i, s in enumerate(symbols)], "ident int, symbol string, prompt string")
-    found = lookup_symbols(items, F.broadcast(asked), limit)  # the identifiers of one prompt
+    # the identifiers of one prompt: as a filter they reach the files, which are sorted by symbol
+    named = items.where(F.col("symbol").isin(sorted({s.rpartition(".")[2] for s in symbols})))
+    found = lookup_symbols(named, F.broadcast(asked), limit)
     return found.orderBy("ident", "place").drop("place")
 
 

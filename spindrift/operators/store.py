@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,24 @@ def decode_vector(b: bytes) -> list[float]:
     return list(struct.unpack(f"<{len(b) // 8}d", b))
 
 
+class Storage(Protocol):
+    """What the engine asks of a store. Another one needs these, and no more."""
+
+    def save(self, items: DataFrame, root: str, config_hash: str, summary: str = "") -> None: ...
+    def reset(self) -> None: ...
+    def status(self, config_hash: str) -> schemas.IndexStatus: ...
+    def items(self) -> DataFrame: ...
+    def summary(self, root: str) -> str: ...
+    def memory(self) -> dict: ...
+    def queue(self) -> DataFrame: ...
+    def enqueue(self, payload: str) -> str: ...
+    def commit_memory(self, memory: dict, done: list[str]) -> None: ...
+
+
+#: How tables are written that are looked up by a column: sorted by it, in ranges, so that a filter on it skips files and row groups.
+SORTED = {"items": ("symbol", "file_path", "start_line")}
+
+
 class Store:
     """Tables under a folder that Spark can write. A table's folder holds versions; a commit writes the
     new version, then the pointer to it, so a reader sees the old table or the new one."""
@@ -42,6 +61,24 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def open(self) -> Store:
+        """Make every table that isn't there, empty, and the one row of memory; nothing that is there changes."""
+        for name, schema in self.TABLES.items():
+            if self._current(name) is None:
+                self.replace(name, self.spark.createDataFrame([], schema))
+        blank = self.spark.createDataFrame([(1, "", [], [], [])], "id int, project_summary string, topics array<string>, preferences array<string>, folded array<string>")
+        if not self._memory_rows():
+            self.replace("memory", insert_or_ignore(self.read("memory"), blank.withColumn("updated_at", F.current_timestamp()), "id"))
+        return self
+
+    def columns(self, name: str) -> dict[str, str]:
+        """Names and types of a table's columns as they are stored, whatever this version of the library would write; none if it isn't there."""
+        version = self._current(name)
+        return dict(self.spark.read.parquet(f"{self.folder}/{name}/{version}").dtypes) if version else {}
+
+    def has_column(self, name: str, column: str) -> bool:
+        return column in self.columns(name)
+
     def _pointer(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/CURRENT")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -61,7 +98,12 @@ class Store:
     def replace(self, name: str, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         typed = self.spark.createDataFrame([], self.TABLES[name]).unionByName(df)
-        typed.write.parquet(f"{self.folder}/{name}/{version}")
+        by = SORTED.get(name)
+        if by:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            typed = typed.repartitionByRange(n, *by).sortWithinPartitions(*by)
+        out = typed.write.option(f"parquet.bloom.filter.enabled#{by[0]}", "true") if by else typed.write
+        out.parquet(f"{self.folder}/{name}/{version}")
         path, fs = self._pointer(name)
         out = fs.create(path, True)
         out.write(bytearray(version.encode()))

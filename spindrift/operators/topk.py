@@ -30,42 +30,33 @@ def top_k(scored_rows: DataFrame, k: int, *order: str) -> DataFrame:
     return scored_rows.orderBy(F.desc("score"), *order).limit(k)
 
 
-#: Bytes of query vectors that each executor may hold.
-MAX_QUERY_BYTES = 256 << 20
+#: Bytes of query vectors, and of what is kept for each, that a task may hold; bytes of scores that it works on at once.
+MAX_QUERY_BYTES, TILE_BYTES = 64 << 20, 16 << 20
 
 
 def knn_join(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of highest score for every query.
 
     items (item_id, embedding), queries (query_id, embedding). Items stay where they are: each task
-    multiplies its batches with blocks of queries and keeps k per query, so the shuffle
-    carries k rows for each query and task, whatever the number of items. The queries are broadcast
-    in blocks of at most MAX_QUERY_BYTES, so any number of them can be asked.
+    multiplies tiles of items with tiles of queries and keeps k per query, so the shuffle carries k rows for each query and task,
+    whatever the number of items, and a task's memory doesn't grow with queries, items or dimensions. The queries are broadcast
+    in blocks of at most MAX_QUERY_BYTES, so any number of them can be asked. Ties go to the smaller item_id.
     """
     ship(items.sparkSession)
     sc = items.sparkSession.sparkContext
     out = None
-    for ids, matrix in _query_blocks(queries):
+    for ids, matrix in _query_blocks(queries, k):
         shared = sc.broadcast((ids, matrix))
 
         def run(batches, shared=shared):
             ids, q = shared.value
-            best_s, best_i = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-            seen = False
+            best = Best(len(ids), k)
             for b in batches:
-                if not len(b):
-                    continue
-                seen = True
-                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ (x / np.where(norms > 0, norms, 1)).T
-                s = np.concatenate([best_s, s], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(b["item_id"].to_numpy(), (len(ids), len(b)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if seen:
-                ok = np.isfinite(best_s)
-                yield pd.DataFrame({"query_id": np.repeat(ids, k)[ok.ravel()], "item_id": best_i[ok], "score": best_s[ok]})
+                if len(b):
+                    best.see(q, np.stack(b["embedding"].to_numpy()).astype(np.float64), b["item_id"].to_numpy())
+            rows, item, score = best.rows()
+            if len(rows):
+                yield pd.DataFrame({"query_id": ids[rows], "item_id": item, "score": score})
 
         part = items.select("item_id", vec.as_double(F.col("embedding")).alias("embedding")).mapInPandas(run, "query_id long, item_id long, score double")
         out = part if out is None else out.union(part)
@@ -75,12 +66,49 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame):
+class Best:
+    """The k best items so far of each of n queries."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.item = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+        self.most = 0  # numbers of the largest tile of scores
+
+    def see(self, queries: np.ndarray, items: np.ndarray, ids: np.ndarray) -> None:
+        """Score items (rows of vectors) against all queries, a tile of TILE_BYTES at a time."""
+        size = TILE_BYTES // 8
+        wide = max(1, min(len(ids), int(size**0.5)))
+        high = max(1, size // (wide + self.k))
+        for a in range(0, len(ids), wide):
+            x = items[a : a + wide]
+            norms = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(norms > 0, norms, 1)
+            for b in range(0, len(queries), high):
+                self._keep(slice(b, b + high), queries[b : b + high] @ x.T, ids[a : a + wide])
+
+    def _keep(self, at: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        s = np.hstack([self.score[at], scores])
+        i = np.hstack([self.item[at], np.broadcast_to(ids, scores.shape)])
+        self.most = max(self.most, s.size)
+        bound = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+        row, col = np.nonzero(s >= bound[:, None])  # k of each row, and what ties with the last
+        s, i = s[row, col], i[row, col]
+        order = np.lexsort((i, -s, row))
+        place = np.arange(len(order)) - np.searchsorted(row, row)
+        first = order[place < self.k]
+        self.score[at], self.item[at] = s[first].reshape(-1, self.k), i[first].reshape(-1, self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, item, score) of all that was kept."""
+        row, col = np.nonzero(np.isfinite(self.score))
+        return row, self.item[row, col], self.score[row, col]
+
+
+def _query_blocks(queries: DataFrame, k: int):
     ids, rows, size = [], [], 0
     for r in queries.select("query_id", vec.normalize(vec.as_double(F.col("embedding"))).alias("e")).toLocalIterator():
         ids.append(r.query_id)
         rows.append(r.e)
-        size += 8 * len(r.e)
+        size += 8 * len(r.e) + 16 * k
         if size >= MAX_QUERY_BYTES:
             yield np.array(ids), np.array(rows)
             ids, rows, size = [], [], 0

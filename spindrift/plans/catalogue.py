@@ -12,6 +12,7 @@ from spindrift.functions import chunking, html
 from spindrift.functions import text as tx
 from spindrift.functions import vector as vec
 from spindrift.operators import hybrid, incremental, postings, store, summary, topk
+from spindrift.plans.engine import file_signals
 from spindrift.session import shared_folder, ship
 from spindrift.sources import files, ignore, web, web_source
 from spindrift.streaming import memory
@@ -161,6 +162,28 @@ def chunk_text_formatted(spark, sf_dir):
     return c.select("doc_id", "j", F.md5(F.lower(F.hex(chunk.cast("binary"))).cast("binary")).alias("chunk_md5"))
 
 
+def _go_sources(spark, sf_dir):
+    """A Go file for each document: a function for each line, which has it in a comment and in a string."""
+    line = lambda x, i: F.concat(F.lit("// "), x, F.lit("\nfunc F"), i.cast("string"), F.lit("() {\n\ts := `"), F.translate(x, "`", ""), F.lit("`\n\tuse(s)\n}\n\n"))
+    source = F.concat(F.lit("package doc\n\n"), F.array_join(F.transform(F.split("text", "\n", -1), line), ""))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), source.alias("content"))
+
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents"
+
+
+@query(f"""SELECT 'doc' || doc_id || '.go' AS path, (4 + 6 * i)::INT AS start_line, (7 + 6 * i)::INT AS end_line, 'F' || i AS symbol, 'function' AS kind,
+md5('File: doc' || doc_id || '.go' || chr(10) || 'Symbol: F' || i || chr(10) || 'Kind: function' || chr(10) || 'Lines: ' || (4 + 6 * i) || '-' || (7 + 6 * i) || chr(10) || chr(10)
+|| '// ' || line || chr(10) || 'func F' || i || '() {{' || chr(10) || chr(9) || 's := `' || replace(line, '`', '') || '`' || chr(10) || chr(9) || 'use(s)' || chr(10) || '}}') AS digest FROM ({_LINES})""")
+def go_chunks(spark, sf_dir):
+    return chunking.chunk_files(_go_sources(spark, sf_dir)).select("path", "start_line", "end_line", "symbol", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT 'doc' || doc_id || '.go' AS path, md5(string_agg(CASE i WHEN 0 THEN 'F0' || chr(10) || 'use' ELSE 'F' || i END, chr(10) ORDER BY i)) AS digest FROM ({_LINES}) GROUP BY doc_id")
+def go_signals(spark, sf_dir):
+    return file_signals(_go_sources(spark, sf_dir)).select("path", F.md5(F.col("signals").cast("binary")).alias("digest"))
+
+
 _AFTER = "CASE WHEN doc_id % 5 = 0 THEN text || ' and then it was changed' ELSE text END"
 
 

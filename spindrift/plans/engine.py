@@ -19,7 +19,7 @@ from spindrift.operators.topk import join_chunks, search
 from spindrift.plans import prompts
 from spindrift.plans.provider import Provider, embed_column
 from spindrift.schemas import IndexStatus, Mode
-from spindrift.session import ship
+from spindrift.session import over_batches, ship
 from spindrift.sources import files as fs
 from spindrift.sources import ignore
 from spindrift.sources.config import Config
@@ -55,7 +55,7 @@ def index_items(files: DataFrame, provider: Provider) -> DataFrame:
 def file_signals(files: DataFrame, include_local: bool = True) -> DataFrame:
     """(path, signals) of every file."""
     ship(files.sparkSession)
-    go = F.udf(lambda s: go_signals(s, include_local), "string")
+    go = over_batches(lambda s: go_signals(s, include_local), "string")
     source = F.col("content").cast("string")
     return files.select("path", F.when(tx.extension(F.col("path")) == ".go", go(source)).otherwise(tx.text_signals(source)).alias("signals"))
 

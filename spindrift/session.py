@@ -6,9 +6,13 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -35,6 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def over_batches(fn: Callable, kind: str) -> Callable[[Column | str], Column]:
+    """A function of one value as a column function that works on Arrow batches. Values that are null give null."""
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(StructType.fromDDL(f"v {kind}")["v"].dataType)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if v is None else fn(v) for v in b.to_pylist()], arrow)
+
+    return F.arrow_udf(run, kind)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that Python workers can
     import it wherever it is installed on the driver."""
