@@ -287,6 +287,56 @@ def web_select_top(spark, sf_dir):
     return postings.select_top(index, BM25_QUERY, 5).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("SELECT page_id, url AS cleaned, concat('https://', regexp_replace(url, '^[a-z]+://', '')) AS bare FROM pages")
+def clean_urls(spark, sf_dir):
+    """The pages' urls as a search's redirects to them, and without a scheme, made whole again."""
+    p = table(spark, sf_dir, "pages")
+    redirect = F.concat(F.lit("//search.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=x"))
+    return p.select("page_id", tx.clean_url(redirect).alias("cleaned"), tx.clean_url(F.concat(F.lit("//"), F.regexp_replace("url", "^[a-z]+://", ""))).alias("bare"))
+
+
+_BLANK = "[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_PARAGRAPHS = f"""p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), chr(10) || ' ' || chr(10)),
+lambda x: trim(regexp_replace(x, '{_BLANK}+', ' ', 'g'), ' ')), lambda x: x <> '') AS parts FROM documents)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, len(parts) AS n_paragraphs, md5(array_to_string(parts, chr(10) || chr(10))) AS digest FROM p")
+def clean_text(spark, sf_dir):
+    """Documents with a blank line after every sentence, cleaned as the text of a page is."""
+    cleaned = _cleaned(spark, sf_dir).withColumn("t", F.col("text"))
+    n = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n\n", -1)))
+    return cleaned.select("doc_id", n.cast("long").alias("n_paragraphs"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+def _cleaned(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", html.clean(F.expr("replace(text, '. ', '.\\n \\n')")).alias("text"))
+
+
+@query(f"""WITH RECURSIVE {_PARAGRAPHS}, q AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+c AS (SELECT doc_id, i, 0::BIGINT AS j, part AS chunk FROM q WHERE i = 1
+  UNION ALL SELECT q.doc_id, q.i, c.j + CASE WHEN strlen(c.chunk) > 600 THEN 1 ELSE 0 END, CASE WHEN strlen(c.chunk) > 600 THEN q.part ELSE c.chunk || chr(10) || chr(10) || q.part END FROM c JOIN q ON q.doc_id = c.doc_id AND q.i = c.i + 1)
+SELECT doc_id, j::INT AS j, md5(arg_max(chunk, i)) AS digest FROM c GROUP BY doc_id, j""")
+def paragraph_chunks(spark, sf_dir):
+    """Those paragraphs joined to chunks, each ended by the paragraph with which it exceeds 600 bytes."""
+    chunks = _cleaned(spark, sf_dir).select("doc_id", F.posexplode(chunking.web_chunks(F.col("text"), 600)).alias("j", "chunk"))
+    return chunks.select("doc_id", "j", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@query(f"""SELECT 'vec' || lpad(vec_id::VARCHAR, 9, '0') AS file_path, 'L' || label AS symbol, round(list_sum({_E}), 6) AS total, (SELECT count(*) FROM embeddings WHERE vec_id % 4 <> 0) AS n_items, 'v2' AS version FROM embeddings WHERE vec_id % 4 <> 0""")
+def saved_index(spark, sf_dir):
+    """The vectors saved as an index, which a second save replaces, and loaded again."""
+    e = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("vec"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("file_path"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("symbol"), F.lit("").alias("kind"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("").alias("content"), vec.as_double(F.col("embedding")).alias("embedding"), "vec_id",
+    )
+    kept = store.Store(spark, f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}")
+    for rows in (e, e.where("vec_id % 4 <> 0")):
+        kept.save(rows.drop("vec_id"), "root", "hash", "summary")
+    n, version = kept.items().count(), kept.read("meta").first().version
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6)
+    return kept.items().select("file_path", "symbol", total.alias("total"), F.lit(n).cast("long").alias("n_items"), F.lit(version).alias("version"))
+
+
 @query("SELECT url, strlen(html)::BIGINT AS n_bytes, md5(html) AS digest, NULL::VARCHAR AS error FROM pages WHERE url IS NOT NULL")
 def web_pages(spark, sf_dir):
     """All urls of the table through the source "web", which finds their pages in the same table."""
