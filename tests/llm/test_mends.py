@@ -2,8 +2,9 @@
 
 import random
 import time
+import tracemalloc
 
-from spindrift.llm import secrets, simhash, url_filter
+from spindrift.llm import decontam, secrets, simhash, url_filter
 
 
 def test_one_of_each_whatever_columns_are_called(spark):
@@ -58,3 +59,25 @@ def test_urls_of_a_long_list(spark, monkeypatch):
     got = [tuple(r) for r in url_filter.filter_urls(pages, rules).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows) + 1
     assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
+
+
+def test_decontamination_in_parts(spark, sf_dir):
+    """Whatever a part holds, the same documents go; nulls and repeats stay what they are."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = docs.union(docs.limit(20)).union(spark.createDataFrame([(None, None, "en", "s", 0), (7, None, None, None, None)], docs.schema))
+    one, many = ([tuple(r) for r in decontam.drop_contaminated(rows, bench, size).collect()] for size in (decontam.PART_BYTES, 700))
+    assert sorted(one, key=str) == sorted(many, key=str) and 0 < len(one) < rows.count()
+    assert decontam.drop_contaminated(rows, bench.limit(0)).count() == rows.count()
+    assert decontam.drop_contaminated(rows.limit(0), bench, 700).collect() == []
+
+
+def test_memory_of_an_index():
+    """Less than eight times its text, most of it the numbers of distinct words."""
+    rnd = random.Random(1)
+    words = [f"{rnd.randrange(1 << 24):06x}".encode() for _ in range(20_000)]
+    part = [(i, b" ".join(rnd.choices(words, k=200))) for i in range(1_500)]
+    tracemalloc.start()
+    index = decontam.Index(part, dict.fromkeys(words, 1))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 8 * sum(len(t) for _, t in part) and len(index.start) == 1_500 * 191
