@@ -1,5 +1,6 @@
 """HTML to text."""
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,28 +12,44 @@ from spindrift.functions.text import SPACE
 
 #: Fixed values.
 DROPPED = {"script", "style", "nav", "footer", "header", "iframe", "noscript", "svg", "img"}
-_VOID = {"img", "br", "hr", "input", "meta", "link"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "small", "strong", "tt", "u"}
 
 
 class _Text(HTMLParser):
+    """Text outside DROPPED elements. One that is never closed ends with the element that it is in."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip, self.in_head, self.out = [], False, []
+        self.open, self.many, self.skip, self.in_head, self.out = [], Counter(), 0, False, []
 
     def handle_starttag(self, tag, attrs):
         if tag == "head":
             self.in_head = True
         if tag == "body":
             self.in_head = False
-        if tag in DROPPED and tag not in _VOID:
-            self.skip.append(tag)
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.many[tag] += 1
+            self.skip += tag in DROPPED
 
     def handle_endtag(self, tag):
         if tag == "head":
             self.in_head = False
-        if tag in self.skip:
-            while self.skip.pop() != tag:
-                pass
+        if not self.many[tag] or tag in ("html", "body"):  # what follows the body still belongs to what is open
+            return
+        # a formatting tag ends no more than itself
+        if tag in _FORMATTING:
+            at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i] == tag)
+            del self.open[at]
+            self.many[tag] -= 1
+            return
+        while True:
+            last = self.open.pop()
+            self.many[last] -= 1
+            self.skip -= last in DROPPED
+            if last == tag:
+                return
 
     def handle_data(self, data):
         if not self.skip and not self.in_head:

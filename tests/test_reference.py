@@ -110,6 +110,9 @@ def test_code_block_and_lines(spark):
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>n</nav><p>one  two</p>\n\n\n<p>three<script>x('</p>')</script></p>&amp;\r\n four</body></html>"
     assert column(spark, [page], html.html_text) == ["one two\n\nthree& four"]
+    # an element that is never closed ends with the one it is in; formatting that is, ends nothing else
+    unclosed = ["<body><div><nav>menu<p>x</div>text</body>", "<b><nav>n</b>m</nav>t", "<div><header>h</div><p>kept</p><footer>f", "<svg/>x<img>y</nav>"]
+    assert [html.body_text(x) for x in unclosed] == ["text", "t", "kept", "xy"]
     pages = spark.createDataFrame([(1, "u", f"<body>{'word ' * 100}</body>"), (2, "v", "<body>short</body>")], "page_id long, url string, html string")
     assert [r.page_id for r in web.page_chunks(pages).collect()] == [1]
 
