@@ -391,7 +391,7 @@ def test_pii_bits(spark):
 
 
 def test_registered():
-    assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_suffix_collisions(monkeypatch):
