@@ -76,3 +76,30 @@ def test_pipeline_of_other_parts(spark, source):
     assert pipeline.pages("x").count() == 2
     with pytest.raises(ValueError):
         web.Pipeline(search=pipeline.search, fetch=pipeline.fetch, limit=0).run("x")
+
+
+def test_every_page_of_an_archive_that_has_several_of_a_url(spark, source, tmp_path):
+    """A table of pages that is its own archive gives each of its rows, those without html too."""
+    rows = [("http://a.org/1", "x"), ("http://a.org/1", "y"), ("http://b.org/1", None), ("http://c.org/1", "z"), ("http://a.org/1", "x")]
+    at = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "url string, html string").repartition(3).write.parquet(at)
+    key = lambda r: (r[0], r[1] or "")
+    got = source(table=at, archive=at, nulls="keep").collect()
+    assert sorted(((r.url, r.html) for r in got), key=key) == sorted(rows, key=key) and not any(r.error for r in got)
+    again = source(urls=json.dumps(["http://c.org/1"] * 3 + ["http://a.org/1"] * 7 + ["http://b.org/1"]), archive=at).collect()
+    counts = [sum(r.html == h for r in again) for h in ("x", "y", "z", None)]
+    assert counts in ([5, 2, 3, 1], [4, 3, 3, 1]) and [r.url for r in again if r.error] == ["http://b.org/1"]
+    with pytest.raises(ValueError):
+        web_source.WebReader({"urls": "[]", "nulls": "x"})
+
+
+def test_an_archive_is_read_once_however_many_urls(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "pages.parquet")
+    urls = [f"http://h{i}.org/" for i in range(3_000)]
+    spark.createDataFrame([(u, u) for u in urls], "url string, html string").write.parquet(at)
+    reader = web_source.WebReader({"table": at, "archive": at, "concurrency": "1"})
+    opened = []
+    dataset = web_source.ds.dataset
+    monkeypatch.setattr(web_source.ds, "dataset", lambda *a: (opened.append(1), dataset(*a))[1])
+    assert sorted(u for b in reader.read(reader.partitions()[0]) for u in b.column(1).to_pylist()) == sorted(urls)
+    assert len(opened) == 2  # the urls, and their pages
