@@ -1,14 +1,13 @@
 """HTML to text."""
 
 from collections import Counter
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import SPACE
+from spindrift.session import over_batches
 
 #: Fixed values.
 DROPPED = {"script", "style", "nav", "footer", "header", "iframe", "noscript", "svg", "img"}
@@ -64,12 +63,8 @@ def body_text(html: str | None) -> str:
 
 
 def _body_text(c: Column) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(body_text)
-
     # the UDF is made where it is used: workers import this module as well
-    return F.pandas_udf(run, "string")(c)
+    return over_batches(body_text, "string")(F.coalesce(c, F.lit("")))
 
 
 def clean(c: Column) -> Column:
