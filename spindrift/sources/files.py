@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,17 @@ def listing(spark: SparkSession, root: str, rules: list[ignore.Rule]) -> DataFra
     as there are; each level is checkpointed, so that none is listed twice, and the driver only learns
     whether there is another. Folders that can't be listed are passed over; links to folders aren't followed.
     """
+    out = spark.createDataFrame([], "path string, length long")
+    for found in _levels(spark, root, rules):
+        out = out.union(found.where("NOT is_dir").select("path", "length"))
+    return out
+
+
+_FOUND = ("path", "is_dir", "length", "written")
+
+
+def _levels(spark: SparkSession, root: str, rules: list[ignore.Rule]) -> Iterator[DataFrame]:
+    """What is in the folders of each level of a tree that aren't ignored, as _FOUND; checkpointed."""
     ship(spark)
     shared_folder(spark)
     base = _qualified(spark, root)
@@ -55,18 +68,18 @@ def listing(spark: SparkSession, root: str, rules: list[ignore.Rule]) -> DataFra
                 for entry in _entries(base, folder):
                     held.append(entry)
                     if len(held) >= ENTRIES:
-                        yield _batch(held, "path", "is_dir", "length")
+                        yield _batch(held, *_FOUND)
                         held = []
                 if held:
-                    yield _batch(held, "path", "is_dir", "length")
+                    yield _batch(held, *_FOUND)
 
-    level, out = spark.createDataFrame([("",)], "path string"), spark.createDataFrame([], "path string, length long")
+    level = spark.createDataFrame([("",)], "path string")
     while True:
-        found = level.mapInArrow(entries, "path string, is_dir boolean, length long").checkpoint()
-        out = out.union(found.where("NOT is_dir").select("path", "length"))
+        found = level.mapInArrow(entries, "path string, is_dir boolean, length long, written long").checkpoint()
+        yield found
         level = found.where("is_dir").where(~ignore.ignored(F.col("path"), F.lit(True), rules)).select("path")
         if level.isEmpty():
-            return out
+            return
         level = level.repartition(n)
 
 
@@ -113,7 +126,38 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, "path string").count()
 
 
-_TYPES = {"path": pa.string(), "is_dir": pa.bool_(), "length": pa.int64(), "content": pa.binary()}
+def delete_tree(spark: SparkSession, root: str) -> None:
+    """Delete a folder and all that is in it; links aren't followed. On a local disk tasks delete the files, in the order in which they
+    were written, so that each task frees places that lie together, then the folders, the deepest first. What they leave the driver deletes."""
+    base = _qualified(spark, root)
+    if base.startswith("file:"):
+        levels = list(_levels(spark, root, []))
+        _each(reduce(DataFrame.union, levels).where("NOT is_dir"), base, os.unlink)
+        for level in reversed(levels):
+            _each(level.where("is_dir"), base, os.rmdir)
+    _delete(spark, root)
+
+
+def _each(found: DataFrame, base: str, remove: Callable[[str], None]) -> None:
+    """remove() every path below base by tasks, in the order of writing. One that can't be, or was before, is passed over."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with suppress(OSError):
+                    remove(f"/{base[5:].lstrip('/')}/{path}")
+        yield from ()
+
+    found.repartitionByRange(n, "written").sortWithinPartitions("written").select("path").mapInArrow(run, "path string").count()
+
+
+def _delete(spark: SparkSession, root: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_TYPES = {"path": pa.string(), "is_dir": pa.bool_(), "length": pa.int64(), "written": pa.int64(), "content": pa.binary()}
 
 
 def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
@@ -125,15 +169,16 @@ def _qualified(spark: SparkSession, root: str) -> str:
     return top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
 
 
-def _entries(base: str, folder: str) -> Iterator[tuple[str, bool, int]]:
-    """(path, whether it is a folder, length) of what is in a folder below base."""
+def _entries(base: str, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, whether it is a folder, length, when it was written in ns) of what is in a folder below base."""
     at = f"{folder}/" if folder else ""
     try:
         if base.startswith("file:"):
             with os.scandir(f"/{base[5:].lstrip('/')}/{folder}") as found:
                 for e in found:
                     try:
-                        yield at + e.name, e.is_dir(follow_symlinks=False), e.stat(follow_symlinks=False).st_size
+                        known = e.stat(follow_symlinks=False)
+                        yield at + e.name, e.is_dir(follow_symlinks=False), known.st_size, known.st_mtime_ns
                     except OSError:
                         continue
         else:
@@ -141,7 +186,7 @@ def _entries(base: str, folder: str) -> Iterator[tuple[str, bool, int]]:
 
             system, top = fs.FileSystem.from_uri(f"{base}/{folder}")
             for e in system.get_file_info(fs.FileSelector(top)):
-                yield at + e.base_name, e.type == fs.FileType.Directory, e.size or 0
+                yield at + e.base_name, e.type == fs.FileType.Directory, e.size or 0, e.mtime_ns or 0
     except OSError:
         return
 

@@ -50,3 +50,16 @@ def test_files_written_are_files_read(spark, tmp_path):
     rows = [("a b/ü.py", b"\x00\xff"), ("x.py", b""), ("d/e/f/Makefile", None)]
     assert files.write_files(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path)) == 3
     assert {r.path: bytes(r.content) for r in files.scan(spark, str(tmp_path)).collect()} == {p: c or b"" for p, c in rows}
+
+
+def test_a_tree_is_deleted_by_tasks(spark, tmp_path, monkeypatch):
+    """Files, hidden ones, links and folders, also those that rules would pass over, are gone when the driver's turn comes; a link's target stays."""
+    make(tmp_path, ["kept/x.go", "tree/a/b/c/x.go", "tree/.git/y", "tree/node_modules/z/_w.js", "tree/odd [1]*.rs", *(f"tree/m{i}/Makefile" for i in range(20))])
+    (tmp_path / "tree" / "empty").mkdir()
+    os.symlink(tmp_path / "kept", tmp_path / "tree" / "a" / "linked")
+    os.symlink(tmp_path / "none", tmp_path / "tree" / "broken")
+    left, delete = [], files._delete
+    monkeypatch.setattr(files, "_delete", lambda spark, root: (left.append(os.listdir(root)), delete(spark, root)))
+    files.delete_tree(spark, str(tmp_path / "tree"))
+    assert left == [[]]
+    assert os.listdir(tmp_path) == ["kept"] and os.listdir(tmp_path / "kept") == ["x.go"]
