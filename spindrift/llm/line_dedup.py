@@ -433,6 +433,14 @@ def rest(open_: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     return map_rows(d, "a long, b long", _cells)
 
 
+def rejoined(roots: DataFrame, above: DataFrame) -> DataFrame:
+    """(node, root) of the components of roots, whose roots, or lines that have none, are joined by above, (node, root) likewise."""
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    joined = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # lines without a root of their own: above alone knows them
+    return joined.union(above.join(roots, "node", "left_anti").select("node", "root"))
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, row, gone array<int>): places of the lines that go, for every text that has any; row is the text's xxhash64."""
     spark = docs.sparkSession
@@ -449,8 +457,7 @@ def removals(docs: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         more = save(rest(open_, lines, roots))
         release(spark)
-        # one edge for each line that has a root, and those between roots
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = rejoined(roots, connected_components(more))
     roots = lines.select("node", "key").join(roots, "node").select("key", F.unhex(F.lpad(F.hex("root"), 16, "0")).alias("root"))
     drop(met, pairs, links)
     by_key = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))

@@ -4,7 +4,8 @@ import random
 import time
 import tracemalloc
 
-from spindrift.llm import decontam, secrets, simhash, url_filter
+from spindrift.llm import components, decontam, line_dedup, secrets, simhash, url_filter
+from spindrift.llm.components import cut
 
 
 def test_one_of_each_whatever_columns_are_called(spark):
@@ -81,3 +82,22 @@ def test_memory_of_an_index():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 8 * sum(len(t) for _, t in part) and len(index.start) == 1_500 * 191
+
+
+def test_components_take_no_needless_round(spark, monkeypatch):
+    """Stars are told as settled as they are; others by what the last round leaves, not by one more."""
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or cut(df))
+    star = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21)], "a long, b long")
+    got = {tuple(r) for r in components.connected_components(star).collect()}
+    assert got == {(i, 1) for i in range(1, 9)} | {(20, 20), (21, 20)} and len(cuts) == 1
+    chain = spark.createDataFrame([(3, 1), (3, 2), (5, 4), (5, 3)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(i, 1) for i in range(1, 6)}
+
+
+def test_components_joined_from_above(spark):
+    """Components whose roots are linked afterwards, to one another and to nodes that had no component."""
+    roots = spark.createDataFrame([(5, 5), (6, 5), (8, 8), (9, 8), (20, 20), (21, 20)], "node long, root long")
+    above = components.connected_components(spark.createDataFrame([(8, 5), (3, 8), (30, 31)], "a long, b long"))
+    got = sorted(tuple(r) for r in line_dedup.rejoined(roots, above).collect())
+    assert got == [(3, 3), (5, 3), (6, 3), (8, 3), (9, 3), (20, 20), (21, 20), (30, 30), (31, 30)]
